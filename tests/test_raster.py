@@ -181,3 +181,13 @@ def test_watched_folder(spark, tmp_path):
     q = watch_frames(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("frames_seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert spark.table("frames_seen").count() == 2
+
+
+def test_images_of_the_jvm_reader(spark, tmp_path):
+    from pixloom.sources.loader import read_images
+
+    head = struct.pack("<IIIIiiHHIIiiII", 54 + 8, 0, 54, 40, 2, 1, 1, 24, 0, 8, 0, 0, 0, 0)
+    (tmp_path / "a.bmp").write_bytes(b"BM" + head + bytes([1, 2, 3, 4, 5, 6, 0, 0]))
+    (tmp_path / "b.bmp").write_bytes(b"nothing")
+    rows = {r["source"].rsplit("/", 1)[1]: r for r in read_images(spark, str(tmp_path)).collect()}
+    assert bytes(rows["a.bmp"]["pixels"]) == bytes([3, 2, 1, 6, 5, 4]) and rows["b.bmp"]["message"]
