@@ -167,13 +167,23 @@ def _numbers(text: bytes) -> list[int]:
     return values
 
 
+def render(data: bytes) -> np.ndarray:
+    """The colours (rows x columns x 3) as drawn, also of streams that define a register more than once; black where nothing was."""
+    return _draw(data, True)[2]
+
+
 def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Indices (rows x columns) and palette of a stream; 255 where nothing was drawn."""
+    return _draw(data, False)[:2]
+
+
+def _draw(data: bytes, paint: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = _START.search(data)
     if not start:
         raise BadStream("no stream starts here")
     palette = np.array(terminal_palette(), np.int64)
     canvas = np.full((6, 64), 255, np.uint8)
+    strokes: list[tuple[int, int, int, list[int], np.ndarray]] = []
     x = y = width = height = most = 0
     colour, repeat, raster = 15, 1, (0, 0)
     at = start.end()
@@ -193,6 +203,8 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
                 while y + 6 > canvas.shape[0]:
                     canvas = np.vstack((canvas, np.full_like(canvas, 255)))
                 canvas[[y + i for i in rows], x : x + repeat] = colour
+                if paint:
+                    strokes.append((y, x, x + repeat, rows, palette[colour].copy()))
                 width, height = max(width, x + repeat), max(height, y + rows[-1] + 1)
             x, repeat = x + repeat, 1
         elif kind == "repeat":
@@ -219,7 +231,10 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     out = np.full((height, width), 255, np.uint8)
     part = canvas[:height, :width]
     out[: part.shape[0], : part.shape[1]] = part
-    return out, palette[: max(most + 1, 3)].astype(np.uint8)
+    painted = np.zeros((height, width, 3) if paint else (0, 0, 3), np.uint8)
+    for top, left, right, rows, rgb in strokes:
+        painted[[top + i for i in rows], left:right] = rgb
+    return out, palette[: max(most + 1, 3)].astype(np.uint8), painted
 
 
 # --- DataFrame forms -------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixloom.functions import color
 from pixloom.functions.color import RGB
-from pixloom.operators import bandcodec, bands, diffuse, geometry, histogram, palette, quantize
+from pixloom.operators import bandcodec, bands, diffuse, geometry, highcolor, histogram, palette, quantize
 from pixloom.operators.geometry import Crop
 from pixloom.plans.bridge import PIX_SQL, SIDE, frames, pixels
 from pixloom.sources import writers
@@ -434,6 +434,12 @@ def c10_decode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("image_id", "width", "height", F.lower(F.hex("indices")).alias("indices"), "ncolors", "message")
 
 
+@query("c7_high_color")
+def c7_high_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = highcolor.encode_high_frames(frames(spark, sf_dir), "floyd-steinberg")
+    return made.select("image_id", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
 @query("k4_write_png")
 def k4_write_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = writers.to_png(diffuse.diffuse_frames(_with_palettes(spark, sf_dir, 8)))

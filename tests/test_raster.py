@@ -6,8 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
-from pixloom.operators import bandcodec, diffuse, palette
-from pixloom.operators.bandcodec import BadStream, Style, decode, encode
+from pixloom.operators import bandcodec, diffuse, highcolor, palette
+from pixloom.operators.bandcodec import BadStream, Style, decode, encode, render
 from pixloom.sources import gif, png, pnm
 
 RNG = np.random.default_rng(3)
@@ -191,3 +191,35 @@ def test_images_of_the_jvm_reader(spark, tmp_path):
     (tmp_path / "b.bmp").write_bytes(b"nothing")
     rows = {r["source"].rsplit("/", 1)[1]: r for r in read_images(spark, str(tmp_path)).collect()}
     assert bytes(rows["a.bmp"]["pixels"]) == bytes([3, 2, 1, 6, 5, 4]) and rows["b.bmp"]["message"]
+
+
+def plain_dither15(raster, kernel):
+    plus, low_rows, low_columns, shares = highcolor.KERNELS[kernel]
+    height, width, _ = raster.shape
+    data = [[int(v) for v in p] for p in raster.reshape(-1, 3)]
+    for pos in range(width * height):
+        y, x = divmod(pos, width)
+        if x < width - low_columns and y < height - low_rows:
+            for c in range(3):
+                lost = data[pos][c] % 8 + plus
+                for down, right, num, den in shares:
+                    to = pos + down * width + right
+                    data[to][c] = min(255, data[to][c] + lost * num // den)
+    return (np.array(data) // 8 * 8).reshape(raster.shape)
+
+
+@pytest.mark.parametrize("kernel", list(highcolor.KERNELS))
+def test_dither15_equals_the_model(kernel):
+    rasters = RNG.integers(0, 256, (3, 6, 7, 3))
+    got = highcolor.dither15(rasters, kernel)
+    for i in range(3):
+        assert (got[i] == plain_dither15(rasters[i], kernel)).all()
+
+
+@pytest.mark.parametrize("kernel", ["none", "stucki", *highcolor.MASKS])
+def test_high_colour_streams(kernel):
+    raster = RNG.integers(0, 256, (14, 90, 3))
+    want = highcolor.dither15(raster[None], kernel)[0]
+    shown = render(highcolor.encode_high(raster, kernel))
+    assert shown.shape == raster.shape and np.abs(shown.astype(int) - want).max() <= 2  # colours travel as whole per cents
+    assert len(np.unique(want.reshape(-1, 3), axis=0)) > 256
