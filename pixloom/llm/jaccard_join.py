@@ -12,10 +12,10 @@ Jaccard similarity of their sets is at least ``percent`` per cent.
 3.  Equal sets become one class (its smallest document stands for it), classes
     of equal prefix and size one group.  Groups, not documents, are dealt out
     by prefix shingle.
-4.  Round one: in each bucket, sorted by size, a group is paired with a leader
-    of admissible size, and inside a group the members with the first one.
-    These are linear in the bucket, and a cluster of copies of any size becomes
-    one component by them.
+4.  Round one: in each bucket, sorted by size, a group is paired with the first
+    groups of admissible size (the hubs, ``HUBS`` at most), and inside a group
+    the members with the first one.  These are linear in the bucket, and a
+    cluster of copies of any size becomes one component by them, or nearly so.
 5.  Round two: pairs that pass the size and positional filters, but only
     between different components of round one, since pairs inside a component
     cannot change the result.  Groups are expanded to their members here.
@@ -48,8 +48,10 @@ from pyspark.sql import functions as F
 from pixloom.llm.common import bounded_batches, small_batches, utf8, written
 from pixloom.llm.components import connected_components
 
-CELLS = 1 << 18
-CHUNK = 1 << 12  # cells in one row of the sketch
+CELLS = 1 << 20
+CHUNK = 1 << 14  # cells in one row of the sketch
+HUBS = 8  # partners that a group is offered in a bucket in round one
+GROUP_PAIRS = 2000  # pairs around one hub that stay in one block
 BATCH_BYTES = 1 << 20  # text that is hashed at a time
 BLOCK_BYTES = 16 << 20  # sets that are verified at a time
 BROADCAST_IDS = 500_000  # ids of 16 bytes: 8 MB at most; beyond that the join shuffles
@@ -131,14 +133,14 @@ def sketch(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
             seen |= batch.num_rows > 0
             total += np.bincount(cells_of(np.concatenate(sets)), minlength=CELLS) if sets else 0
         if seen:
-            chunks = total.reshape(-1, CHUNK)
+            chunks = total.astype(np.uint32).reshape(-1, CHUNK)
             yield pa.RecordBatch.from_pydict({"chunk": list(range(len(chunks))), "counts": [c.tobytes() for c in chunks]})
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CHUNK, np.int64)
         for batch in batches:
             for counts in batch.column("counts").to_pylist():
-                total += np.frombuffer(counts, np.int64)
+                total += np.frombuffer(counts, np.uint32)
         yield pa.RecordBatch.from_pydict({"chunk": [key[0].as_py()], "counts": [total.tobytes()]})
 
     rows = (
@@ -186,18 +188,20 @@ def _sorted_buckets(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator
         yield list(bucket)
 
 
-def leader_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Round one: each group with the leader of its bucket whose size admits a link."""
+def hub_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Round one: each group with the hubs of its bucket whose size admits a link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in small_batches(batches, 10_000) for r in zip(*(b.column(i).to_pylist() for i in range(3))))
         pairs: set[tuple[int, int]] = set()
-        token = leader = size = None
+        token = None
+        hubs: list[tuple[int, int]] = []
         for key, n, group in rows:  # by token, size and group: a bucket is never held
-            if key != token or needed(n, percent) > size:
-                token, leader, size = key, group, n
-            elif group != leader:
-                pairs.add((group, leader))
+            hubs = [h for h in hubs if needed(n, percent) <= h[0]] if key == token else []
+            token = key
+            pairs.update((group, h) for _, h in hubs if h != group)
+            if len(hubs) < HUBS and (n, group) not in hubs:
+                hubs.append((n, group))
             if len(pairs) >= 200_000:
                 yield pa.RecordBatch.from_pydict({"x": [p[0] for p in pairs], "y": [p[1] for p in pairs]})
                 pairs = set()
@@ -211,9 +215,9 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Round two: pairs of different components in a bucket that pass the size and positional filters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
         for bucket in _sorted_buckets(batches, 5):
             _, n, pos, doc, comp = (np.array(c, np.int64) for c in zip(*bucket))
-            out: set[tuple[int, int]] = set()
             for i in range(len(n) - 1):  # sorted by size: those behind are as large or larger
                 stop = np.searchsorted(n, n[i] * 100 // percent, "right")
                 j = slice(i + 1, max(i + 1, int(stop)))
@@ -221,8 +225,11 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
                 room = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
                 for k in (np.flatnonzero((room >= least) & (comp[j] != comp[i])) + i + 1).tolist():
                     out.add((max(int(doc[i]), int(doc[k])), min(int(doc[i]), int(doc[k]))))
-            if out:
-                yield pa.RecordBatch.from_pydict({"x": [p[0] for p in out], "y": [p[1] for p in out]})
+                if len(out) >= 200_000:
+                    yield pa.RecordBatch.from_pydict({"x": [p[0] for p in out], "y": [p[1] for p in out]})
+                    out = set()
+        if out:
+            yield pa.RecordBatch.from_pydict({"x": [p[0] for p in out], "y": [p[1] for p in out]})
 
     return (
         members.repartition("token").sortWithinPartitions("token", "n", "doc")
@@ -240,15 +247,21 @@ def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (x, y) that link, as edges (a, b), by their full sets.
 
-    A block holds the sets of its pairs once each; pairs are dealt to blocks by
-    x, which in round one is the copy and not the leader.
+    A block holds the sets of its pairs once each.  The pairs of an x go to the
+    block of its smallest partner, so that a family shares its hubs' sets; a
+    partner of many pairs is salted by x.
     """
     pairs = written(pairs)
     total = pairs.count()
     if not total:
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    n_blocks = max(1, math.ceil(total * 8192 / BLOCK_BYTES))
-    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(n_blocks)))
+    first = pairs.groupBy("x").agg(F.min("y").alias("hub"), F.count("*").alias("n"))
+    salts = first.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP_PAIRS).alias("salts"))
+    n_blocks = max(1, math.ceil(first.count() * 8192 / BLOCK_BYTES))
+    placed = first.join(salts, "hub").select(
+        "x", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("x"), F.col("salts"))), F.lit(n_blocks)).alias("block")
+    )
+    dealt = written(pairs.join(placed, "x"))
     wanted = dealt.select("block", F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     if total <= BROADCAST_IDS // 2:
         wanted = F.broadcast(wanted)
@@ -290,7 +303,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     ordered = entries.repartition("token").sortWithinPartitions("token", "n", "gid")
     buckets = written(_shared(ordered))
     within = membership.where("size > 1 AND doc <> gid").select(F.col("doc").alias("x"), F.col("gid").alias("y"))
-    first = written(verified(leader_pairs(buckets, percent).unionAll(within), source, words, percent))
+    first = written(verified(hub_pairs(buckets, percent).unionAll(within), source, words, percent))
     merged = connected_components(first)
     members = (
         buckets.join(membership.select("gid", "doc"), "gid").select("token", "n", "pos", "doc")
