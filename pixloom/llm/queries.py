@@ -130,6 +130,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_TEMPLATES_SQL = ", ".join("('{}', '{}')".format(label, text.replace("'", "''")) for label, text in license_scan.TEMPLATES)
+
+_LICENSE_SQL = rf"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+phrases(p, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM words WHERE list_contains(w, 'license')),
+places AS (SELECT doc_id, k - 1 AS place, label FROM starts, phrases WHERE w[k:k + len(p) - 1] = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM lowered),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS block FROM lines),
+templates AS (SELECT label, list_distinct(regexp_extract_all(translate(body, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens
+  FROM (VALUES {_TEMPLATES_SQL}) v(label, body)),
+met AS (SELECT doc_id, label, len(list_intersect(block, tokens)) / CAST(len(tokens) AS DOUBLE) AS share FROM blocks, templates
+  WHERE len(list_intersect(block, tokens)) >= ceil(0.8::DOUBLE * len(tokens) - 1e-9)),
+method AS (SELECT doc_id, count(*) AS n_matches, max(share) AS score, list(DISTINCT label) AS labels FROM met GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+  coalesce(score, 0) AS score, coalesce(n_matches, 0) AS n_matches
+FROM words LEFT JOIN base b USING (doc_id) LEFT JOIN method m USING (doc_id)
+"""
+
 _JACCARD_SQL = f"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
@@ -151,5 +174,5 @@ FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r
 #: The others have no SQL: checksums (3, 6), merges (5), training (6, 7), tree walks (9), substitutions (10); tests hold them
 #: against brute force, round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
-    "op1_url_filters": _URL_SQL, "op4_chat_format": _CHAT_SQL, "op8_jaccard_join": _JACCARD_SQL,
+    "op1_url_filters": _URL_SQL, "op2_license_scan": _LICENSE_SQL, "op4_chat_format": _CHAT_SQL, "op8_jaccard_join": _JACCARD_SQL,
 }
