@@ -39,7 +39,7 @@ END = b""  # no word is empty
 DISCOUNT = 0.75
 MIN_SHARE = 1e-5
 KEPT_COUNTS = 300_000  # distinct keys that a task holds before it passes them on
-BLOCK_BYTES = 8 << 20  # text of one scoring block
+BLOCK_BYTES = 16 << 20  # text of one scoring block
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -204,7 +204,8 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
             while part := list(islice(rare, 100_000)):
                 yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.binary()), "block": pa.array([block] * len(part), pa.int64())})
 
-    asked = dealt.select("block", "text").mapInArrow(ask, "word binary, block long").distinct()
+    # Dealt by word once: the distinct and the join both work on that.
+    asked = dealt.select("block", "text").mapInArrow(ask, "word binary, block long").repartition("word").distinct()
     answers = asked.join(words, "word").select("block", "word", "n")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
