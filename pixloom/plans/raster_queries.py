@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from pixloom.functions import color
 from pixloom.functions.color import RGB
-from pixloom.operators import bandcodec, bands, diffuse, geometry, highcolor, histogram, palette, quantize
+from pixloom.operators import bandcodec, bands, diffuse, geometry, highcolor, histogram, palette, quantize, validate
 from pixloom.operators.geometry import Crop
 from pixloom.plans.bridge import PIX_SQL, SIDE, frames, pixels
-from pixloom.sources import writers
+from pixloom.sources import sniff, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -450,3 +450,52 @@ def k4_write_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k2_macro_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"))
     return ids.select("image_id", bands.macro_text(F.col("image_id").cast("string").cast("binary"), 3).alias("macro"))
+
+
+# --- sniffing, checks, small texts ---------------------------------------------------
+
+#: Synthetic file beginnings by remainder of the order key, in hexadecimal.
+_HEADS = (("bands", "1B50303B31712231"), ("pnm", "50360A"), ("jpeg", "FFD8FFE0"), ("png", "89504E470D0A1A0A"), ("gif", "474946383961"), ("bmp", "424D"), (None, "0A"), (None, "414243"))
+
+
+@query("s4_format_sniff", "SELECT o_orderkey, v.kind AS format FROM orders JOIN (VALUES "
+       + ", ".join(f"({i}, {'NULL' if k is None else repr(k)})" for i, (k, _) in enumerate(_HEADS)) + f") v(i, kind) ON o_orderkey % {len(_HEADS)} = v.i")
+def s4_format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    head = F.element_at(F.array(*[F.lit(h) for _, h in _HEADS]), (F.col("o_orderkey") % len(_HEADS) + 1).cast("int"))
+    return orders.select("o_orderkey", sniff.format_of(F.unhex(head)).alias("format"))
+
+
+@query("f3_transparent_key", f"WITH {PIX_SQL}{_CUBE_SQL}{_nearest_sql('pix')} SELECT image_id, y // 6 AS band, CAST(idx AS BIGINT) AS idx, x, "
+       "CAST(bit_or(1 << (y % 6)) AS BIGINT) AS bits FROM near WHERE idx <> 3 GROUP BY ALL")
+def f3_transparent_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.planes(_indexed(spark, sf_dir), transparent=3)
+
+
+@query("f5_validation", """SELECT o_orderkey, CASE WHEN w <= 0 OR h <= 0 THEN 'a side is not positive' WHEN w > 1000000 OR h > 1000000 THEN 'a side is too long'
+  WHEN n < 2 OR n > 256 THEN 'a palette has 2 to 256 colours' END AS message,
+  CAST(w <= 0 OR h <= 0 OR w > 1000000 OR h > 1000000 OR n < 2 OR n > 256 AS BIGINT) AS status
+FROM (SELECT o_orderkey, o_orderkey % 5 AS w, (o_orderkey % 7) * 200000 AS h, o_orderkey % 300 AS n FROM orders)""")
+def f5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    sizes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", (key % 5).alias("width"), (key % 7 * 200_000).alias("height"), (key % 300).alias("ncolors")
+    )
+    return validate.with_status(sizes, ncolors="ncolors").select("o_orderkey", "message", "status")
+
+
+@query("p13_bucket", _digest_sql("(SELECT image_id, y, x, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) AS bucket FROM pix)", "bucket"))
+def p13_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pixels(spark, sf_dir).select("image_id", "y", "x", color.bucket15(*_cols(*RGB)).alias("bucket")), "bucket")
+
+
+@query("a10_bounding_box", f"WITH {PIX_SQL}{_CUBE_SQL}{_nearest_sql('pix')} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM near WHERE idx = 0 GROUP BY image_id")
+def a10_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = _indexed(spark, sf_dir).where("idx = 0")
+    return drawn.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+@query("c1_header_text", """SELECT o_orderkey, chr(27) || 'Pq"1;1;' || (o_orderkey % 97 + 1) || ';' || (o_orderkey % 53 + 1) AS header FROM orders""")
+def c1_header_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", bands.header(key % 97 + 1, key % 53 + 1).alias("header"))
