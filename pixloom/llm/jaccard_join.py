@@ -23,8 +23,9 @@ Jaccard similarity of their sets is at least ``percent`` per cent.
 Both rounds verify candidates on the full sets.  So every link between two
 components is found, and no large group is ever expanded into all its pairs.
 
-Buckets stream through sorted partitions; verification works on blocks of
-bounded size.  Sets are compared by 64-bit shingle hashes.
+Buckets stream through sorted partitions: round one holds none of them, round
+two holds one as five numbers a row.  Verification works on blocks of bounded
+size.  Sets are compared by 64-bit shingle hashes.
 
 Defined cases: null or wordless text has an empty set and links with nothing;
 fewer words than a shingle are one shingle; equal texts link; a row without
@@ -51,6 +52,7 @@ from pixloom.llm.components import connected_components
 CELLS = 1 << 20
 CHUNK = 1 << 14  # cells in one row of the sketch
 HUBS = 8  # partners that a group is offered in a bucket in round one
+SMALL_BUCKET = 32  # rows up to which buckets are compared many at a time
 GROUP_PAIRS = 2000  # pairs around one hub that stay in one block
 BATCH_BYTES = 1 << 20  # text that is hashed at a time
 BLOCK_BYTES = 16 << 20  # sets that are verified at a time
@@ -181,11 +183,54 @@ def prefixes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     )
 
 
-def _sorted_buckets(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
-    """Rows of one key after another; the key is the first column."""
-    rows = (r for b in small_batches(batches, 10_000) for r in zip(*(b.column(i).to_pylist() for i in range(columns))))
-    for _, bucket in groupby(rows, key=lambda r: r[0]):
-        yield list(bucket)
+def _whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns as rows of an array, in parts that end with a bucket; the first column is the bucket's key."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        part = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        if not part.shape[1]:
+            continue
+        ends = np.flatnonzero(part[0, 1:] != part[0, :-1]) + 1
+        if held and not len(ends) and part[0, 0] == held[-1][0, -1]:
+            held.append(part)
+            continue
+        last = ends[-1] if len(ends) else 0
+        if held or last:
+            yield np.concatenate([*held, part[:, :last]], axis=1)
+        held = [part[:, last:]]
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def _crossing(rows: np.ndarray, percent: int) -> set[tuple[int, int]]:
+    """Pairs (larger, smaller doc) of whole buckets (token, n, pos, doc, comp; sorted by token and n) that may link and have different components."""
+    out: set[tuple[int, int]] = set()
+    starts = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+    sizes = np.diff(np.append(starts, rows.shape[1]))
+    mixed = np.minimum.reduceat(rows[4], starts) != np.maximum.reduceat(rows[4], starts)
+    for start, size in zip(starts[mixed & (sizes > SMALL_BUCKET)].tolist(), sizes[mixed & (sizes > SMALL_BUCKET)].tolist()):
+        for i in range(start, start + size - 1):
+            stop = start + int(np.searchsorted(rows[1, start : start + size], rows[1, i] * 100 // percent, "right"))
+            if stop > i + 1:
+                _admit(out, rows[:, i, None], rows[:, i + 1 : stop], percent)
+    small = rows[:, np.repeat(mixed & (sizes <= SMALL_BUCKET), sizes)]
+    for apart in range(1, SMALL_BUCKET):  # all small buckets at once, by the distance of two rows
+        left, right = small[:, :-apart], small[:, apart:]
+        same = left[0] == right[0]
+        if not same.any():
+            break
+        _admit(out, left[:, same], right[:, same], percent)
+    return out
+
+
+def _admit(out: set[tuple[int, int]], left: np.ndarray, right: np.ndarray, percent: int) -> None:
+    """Add the pairs that pass the size and positional filters."""
+    n, m = left[1], right[1]
+    least = -(-percent * (n + m) // (100 + percent))
+    room = np.minimum(n - left[2], m - right[2])
+    fits = (room >= least) & (left[4] != right[4]) & (needed(m, percent) <= n)
+    a, b = np.broadcast_to(left[3], fits.shape)[fits], np.broadcast_to(right[3], fits.shape)[fits]
+    out.update(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
 
 
 def hub_pairs(buckets: DataFrame, percent: int) -> DataFrame:
@@ -216,18 +261,11 @@ def crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
-        for bucket in _sorted_buckets(batches, 5):
-            _, n, pos, doc, comp = (np.array(c, np.int64) for c in zip(*bucket))
-            for i in range(len(n) - 1):  # sorted by size: those behind are as large or larger
-                stop = np.searchsorted(n, n[i] * 100 // percent, "right")
-                j = slice(i + 1, max(i + 1, int(stop)))
-                least = -(-percent * (n[i] + n[j]) // (100 + percent))
-                room = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-                for k in (np.flatnonzero((room >= least) & (comp[j] != comp[i])) + i + 1).tolist():
-                    out.add((max(int(doc[i]), int(doc[k])), min(int(doc[i]), int(doc[k]))))
-                if len(out) >= 200_000:
-                    yield pa.RecordBatch.from_pydict({"x": [p[0] for p in out], "y": [p[1] for p in out]})
-                    out = set()
+        for rows in _whole_buckets(batches):
+            out |= _crossing(rows, percent)
+            if len(out) >= 200_000:
+                yield pa.RecordBatch.from_pydict({"x": [p[0] for p in out], "y": [p[1] for p in out]})
+                out = set()
         if out:
             yield pa.RecordBatch.from_pydict({"x": [p[0] for p in out], "y": [p[1] for p in out]})
 
@@ -262,8 +300,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         "x", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("x"), F.col("salts"))), F.lit(n_blocks)).alias("block")
     )
     dealt = written(pairs.join(placed, "x"))
-    wanted = dealt.select("block", F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    if total <= BROADCAST_IDS // 2:
+    wanted = written(dealt.select("block", F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").select("block", "doc_id", "text")
 
@@ -305,13 +343,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     within = membership.where("size > 1 AND doc <> gid").select(F.col("doc").alias("x"), F.col("gid").alias("y"))
     first = written(verified(hub_pairs(buckets, percent).unionAll(within), source, words, percent))
     merged = connected_components(first)
+    placed = membership.join(merged.select(F.col("a").alias("doc"), F.col("b").alias("comp")), "doc", "left").select(
+        "gid", "size", "n", "doc", F.coalesce("comp", "doc").alias("comp")
+    )
     members = (
-        buckets.join(membership.select("gid", "doc"), "gid").select("token", "n", "pos", "doc")
-        .unionAll(membership.where("size > 1").select(F.col("gid").alias("token"), "n", F.lit(0).alias("pos"), "doc"))
+        buckets.join(placed.select("gid", "doc", "comp"), "gid").select("token", "n", "pos", "doc", "comp")
+        .unionAll(placed.where("size > 1").select(F.col("gid").alias("token"), "n", F.lit(0).alias("pos"), "doc", "comp"))
     )
-    known = members.join(merged.select(F.col("a").alias("doc"), F.col("b").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    second = verified(crossing_pairs(known.join(mixed, "token", "left_semi"), percent), source, words, percent)
+    second = verified(crossing_pairs(members, percent), source, words, percent)
     links = merged.unionAll(second)
     final = connected_components(links)
     return (
