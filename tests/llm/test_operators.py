@@ -458,3 +458,28 @@ def test_passages_equal_brute_force():
                 want[item] = best
         # A stretch of ten equal words may miss every seed only where words are replaced at every seed; long clean runs never are.
         assert set(got) <= set(want) and all(item in got for item, best in want.items() if best >= 16)
+
+
+def test_bucket_forms_agree(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for token, size in enumerate([1, 2, 3, 40, 5, 70, 2, 33]):
+        bucket = [(token, int(rng.integers(20, 60)), int(rng.integers(0, 9)), int(rng.integers(0, 10_000)), int(rng.integers(0, 3))) for _ in range(size)]
+        rows += sorted(bucket, key=lambda r: (r[1], r[3]))
+    want = set()
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[0] == b[0] and a[4] != b[4] and 100 * min(a[1], b[1]) >= 75 * max(a[1], b[1]):
+                if min(a[1] - a[2], b[1] - b[2]) >= -(-75 * (a[1] + b[1]) // 175):
+                    want.add((max(a[3], b[3]), min(a[3], b[3])))
+    table = np.array(rows).T
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in table], names=list("abcde")) for k in range(0, len(rows), step)]
+        parts = list(jaccard_join._whole_buckets(batches))
+        assert (np.concatenate(parts, axis=1) == table).all()
+        for small in (2, 32, 100):
+            monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", small)
+            assert set().union(*(jaccard_join._crossing(p, 75) for p in parts)) == want
