@@ -176,7 +176,7 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_docs = words.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     size = counted.where("word IS NULL").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    frequent = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= min_share * total).orderBy("word").collect()}
+    frequent = {bytes(r["word"]): r["n"] for r in words.where((F.col("n") >= min_share * total) | (F.col("word") == F.lit(END))).orderBy("word").collect()}
     kept = pair_counts(rows.where(~F.col("held_out")).select("text"), list(frequent)).where(F.col("n") >= min_share * total)
     pairs = {r["code"]: r["n"] for r in kept.collect()}
     model = rows.sparkSession.sparkContext.broadcast(Backoff(frequent, pairs, n_docs, total, distinct))

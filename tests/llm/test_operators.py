@@ -267,6 +267,18 @@ def test_lm_equals_direct_counting(spark):
         assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=1e-9)
 
 
+def test_end_token_is_known_behind_long_texts(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    df = spark.createDataFrame([(i, "of the " * 75_000) for i in ids], "doc_id long, text string")
+    got = lm_score.lm_score(df).collect()
+    total = 2 * 150_001
+    share = lambda n: math.log10((n + 0.5) / (total + 0.5 * 4))
+    assert len(got) == 2
+    for r in got:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (150_001, 150_001, total)
+        assert math.isclose(r["base_score"], 150_000 * share(150_000) + share(2), rel_tol=1e-9)
+
+
 def test_backoff_is_a_distribution():
     frequent = {b"": 3, b"a": 6, b"b": 5}
     pairs = {3 * 4 + 1: 3, 1 * 4 + 2: 4, 2 * 4 + 0: 3}
