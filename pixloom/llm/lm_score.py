@@ -8,12 +8,19 @@ state, kept pairs are its arcs, and its failure arc of weight l(h) leads to the
 root, which knows every word.  Scoring walks a text once from left to right and
 adds up log10 weights.
 
-Counts cover the whole training part.  A pair is kept if it makes up at least
-``min_share`` of all training tokens, and then so do its words: at most
-1 / min_share words and pairs are ever broadcast, whatever the corpus.  All
-other words are rare by definition; their counts stay in a table that documents
-meet in blocks: each block of text asks once for each of its distinct rare
-words.  No key can be hot in that join, because hot words are not in it.
+Counts cover the whole training part, and every pair in it is kept (``min_share``
+keeps only pairs that make up a share of the training tokens; 0 by default).
+Nothing of the model is broadcast.  Texts are dealt in blocks, and a block lists its
+distinct words and pairs once, with its own training counts, dealt by hash into
+buckets; a bucket adds the counts up and answers every block in the order of its
+list, so that answers carry no keys.  One block of those with a pair owns it:
+from the pairs it owns it says how many kept pairs start with each word, which
+is added up and answered in the same way.  A block then has its whole part of
+the automaton.  A key stands at most once in a block's list, so none is hot.
+
+Keys are 64-bit hashes inside buckets of an independent hash, of words and pairs
+that a block tells apart exactly: among 3 * 10^9 keys in 2000 buckets two are
+mistaken for each other with odds of about 1 in 8000.
 
 Defined cases: null text is empty, a lone end token; a null doc_id trains
 like the empty string's checksum; without training documents every word is
@@ -23,23 +30,26 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixloom.llm.common import bounded_batches, small_batches, utf8, written
+from pixloom.llm.common import bounded_batches, utf8
 
+START = b" "  # the place before a text; no word has white space
 END = b""  # no word is empty
 DISCOUNT = 0.75
-MIN_SHARE = 1e-5
-KEPT_COUNTS = 300_000  # distinct keys that a task holds before it passes them on
 BLOCK_BYTES = 16 << 20  # text of one scoring block
+PIECE_BYTES = 16 << 20  # text that a task holds to compress it by block
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -51,65 +61,148 @@ def checksum(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of the training rows of (text, train); a null word carries the bytes of all rows."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes | None] = Counter()
-        for batch in small_batches(batches):
-            for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[None] += len(text)
-                if train:
-                    seen.update(tokens(text))
-                    seen[END] += 1
-            if len(seen) > KEPT_COUNTS:
-                yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": list(seen.values())})
-                seen = Counter()
-        if seen:
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": list(seen.values())})
-
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def pair_counts(texts: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """(code, n): how often two frequent words follow each other; code is first * (k + 1) + second.
-
-    The place before a text has number k.
-    """
-    k = len(frequent)
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(shared.value)}
-        end = number.get(END, -1)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-
-        for batch in small_batches(batches):
-            numbers: list[int] = []
-            for text in batch.column(0).to_pylist():
-                numbers.append(k)
-                numbers += [number.get(w, -1) for w in tokens(text)]
-                numbers += (end, -1)
-            x = np.array(numbers, np.int64)
-            both = (x[:-1] >= 0) & (x[1:] >= 0)
-            held.append(np.unique(x[:-1][both] * (k + 1) + x[1:][both], return_counts=True))
-            size += len(held[-1][0])
-            if size > 4 * KEPT_COUNTS:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 2 * KEPT_COUNTS:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["code", "n"])
-                    held, size = [], 0
-        if held:
-            codes, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, byte planes apart."""
+    kind = np.min_scalar_type(int(values.max())) if len(values) else np.dtype(np.uint8)
+    return squeezed(values.astype(kind).view(np.uint8).reshape(len(values), kind.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(unsqueezed(data), np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view(f"u{len(planes)}").ravel().astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as differences, high bytes apart, for these are zeros."""
+    return squeezed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueezed(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, piece): the rows of each block, compressed together as far as a task meets them."""
+
+    def flushed() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        table = table.take(pa.compute.sort_indices(table["block"]))
+        block = table["block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        out = []
+        for start, stop in zip(cuts, cuts[1:]):
+            sink = pa.BufferOutputStream()
+            part = table.slice(start, stop - start).drop_columns("block").combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(part)
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int64()), pa.array(out, pa.binary())], names=["block", "piece"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) > PIECE_BYTES:
+            yield flushed()
+            held = []
+    if held:
+        yield flushed()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Listed:
+    """Keys in the order of buckets and, inside, of their hashes."""
+
+    def __init__(self, hashes: np.ndarray, places: np.ndarray, buckets: int):
+        bucket = (places % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(hashes)
+        self.order = order[np.argsort(bucket[order], kind="stable")]
+        self.keys = hashes[self.order]
+        self.ends = np.searchsorted(bucket[self.order], np.arange(buckets + 1, dtype=np.int64))
+
+    def slices(self, values: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """Keys, or values given by key, bucket by bucket."""
+        listed = self.keys if values is None else values[self.order]
+        for start, stop in zip(self.ends[:-1].tolist(), self.ends[1:].tolist()):
+            yield listed[start:stop]
+
+    def restored(self, parts: dict[int, bytes]) -> np.ndarray:
+        """The values of all keys from each bucket's answer."""
+        out = np.zeros(len(self.order), np.int64)
+        for bucket, data in parts.items():
+            start, stop = self.ends[bucket], self.ends[bucket + 1]
+            out[self.order[start:stop]] = unpacked(data, int(stop - start))
+        return out
+
+
+class Block:
+    """The numbered words and pairs of a block of texts."""
+
+    def __init__(self, table: pa.Table, buckets: int):
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        self.start, self.end = number[START], number[END]
+        parts, sizes, rows = [], [], []
+        for piece in table["piece"]:
+            texts = pa.ipc.open_stream(piece.as_buffer()).read_all()
+            rows.append(texts.select(["doc_id", "held_out"]))
+            for text in texts["text"]:
+                words = tokens(text.as_py())
+                part = np.empty(len(words) + 2, np.int32)
+                part[0], part[-1] = self.start, self.end
+                part[1:-1] = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+                parts.append(part)
+                sizes.append(len(part))
+        self.rows = pa.concat_tables(rows)
+        self.tokens = np.concatenate(parts)  # each text between START and END
+        self.sizes = np.array(sizes, np.int64)
+        self.trains = np.repeat(~np.array(self.rows["held_out"].to_pylist(), bool), self.sizes)
+        self.k = k = len(number)
+        digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in number])
+        del number, parts
+        names, places = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        self.words = Listed(names, places, buckets)
+        # Pair i ends with token i + 1; no pair ends with START.
+        self.inner = np.flatnonzero(self.tokens[1:] != self.start)
+        codes = self.tokens[self.inner].astype(np.int64) * k + self.tokens[self.inner + 1]
+        codes, self.pair_at = np.unique(codes, return_inverse=True)
+        self.first, self.second = np.divmod(codes, k)
+        self.pairs = Listed(
+            _mixed(names[self.first]) ^ _mixed(places[self.second] + np.uint64(1)),
+            _mixed(places[self.first]) ^ _mixed(names[self.second] + np.uint64(1)), buckets,
+        )
+
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the block's training texts have each word (START never) and each pair."""
+        words = np.bincount(self.tokens[self.trains], minlength=self.k)
+        words[self.start] = 0
+        return words, np.bincount(self.pair_at[self.trains[self.inner]], minlength=len(self.first))
+
+
+def added(keys: list[np.ndarray], *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of each key, and the sums by number of the values that stand beside the keys."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = []
+    for v in values:
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at, v)
+        sums.append(total)
+    return at, sums
 
 
 class Weights(dict):
@@ -122,7 +215,7 @@ class Weights(dict):
 
 
 class Backoff:
-    """The automaton.  State 0 is the root; state i + 1 is behind frequent word i or, last, before a text."""
+    """The automaton of a whole model in memory, which blocks hold in parts.  State 0 is the root; state i + 1 is behind frequent word i or, last, before a text."""
 
     def __init__(self, frequent: dict[bytes, int], pairs: dict[int, int], n_docs: int, total: int, distinct: int):
         self.total, self.distinct = total, distinct
@@ -164,67 +257,124 @@ class Backoff:
         return score
 
 
-def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: float = MIN_SHARE,
+COUNTED = "bucket long, block long, word_n binary, pair_n binary, total long, distinct long"
+
+
+class Counts:
+    """What the buckets' answers of the first round say about a block; ``mine`` marks the pairs it owns."""
+
+    def __init__(self, block: Block, rows: list[dict], min_share: float):
+        self.total, self.distinct = sum(r["total"] for r in rows), sum(r["distinct"] for r in rows)
+        self.words = block.words.restored({r["bucket"]: r["word_n"] for r in rows})
+        pairs = block.pairs.restored({r["bucket"]: r["pair_n"] for r in rows})
+        self.pairs, self.mine = pairs >> 1, (pairs & 1).astype(bool)
+        self.kept = (self.pairs > 0) & (self.pairs >= min_share * self.total)
+
+
+def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: float = 0.0,
              block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: fold, token counts, unigram and backoff scores."""
     held = F.pmod(checksum(id_col), F.lit(folds)) == held_fold
     rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), utf8(text_col).alias("text")
     )
-    counted = written(word_counts(rows.select("text", (~F.col("held_out")).alias("train"))))
-    words = counted.where("word IS NOT NULL")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_docs = words.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    size = counted.where("word IS NULL").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    frequent = {bytes(r["word"]): r["n"] for r in words.where((F.col("n") >= min_share * total) | (F.col("word") == F.lit(END))).orderBy("word").collect()}
-    kept = pair_counts(rows.where(~F.col("held_out")).select("text"), list(frequent)).where(F.col("n") >= min_share * total)
-    pairs = {r["code"]: r["n"] for r in kept.collect()}
-    model = rows.sparkSession.sparkContext.broadcast(Backoff(frequent, pairs, n_docs, total, distinct))
-
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # Blocks are dealt by a hash of the document, so that their number follows the bytes and no source is hot.
-    n_blocks = max(1, math.ceil(size / block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)))
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value.counts
-        wanted: dict[int, set[bytes]] = defaultdict(set)
-        size = 0
-        for batch in small_batches(batches):
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                wanted[block].update(tokens(text))
-            size = sum(map(len, wanted.values()))
-            if size > 2 * KEPT_COUNTS:
-                yield from flushed(wanted, known)
-                wanted.clear()
-        yield from flushed(wanted, known)
-
-    def flushed(wanted: dict[int, set[bytes]], known: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        for block, asked in wanted.items():
-            rare = iter(asked.difference(known))
-            while part := list(islice(rare, 100_000)):
-                yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.binary()), "block": pa.array([block] * len(part), pa.int64())})
-
-    # Dealt by word once: the distinct and the join both work on that.
-    asked = dealt.select("block", "text").mapInArrow(ask, "word binary, block long").repartition("word").distinct()
-    answers = asked.join(words, "word").select("block", "word", "n")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = model.value
-        counts = dict(zip(right["word"].to_pylist(), right["n"].to_pylist()))
-        counts.update(automaton.counts)
-        weights = Weights((w, math.log10(automaton.share(n))) for w, n in counts.items())
-        weights.unknown = math.log10(automaton.share(0))
-        out: list[tuple] = []
-        for doc, fold, text in zip(left["doc_id"].to_pylist(), left["held_out"].to_pylist(), left["text"].to_pylist()):
-            sequence = tokens(text)
-            sequence.append(END)
-            base = float(np.sum(np.array([weights[w] for w in sequence])))
-            known = sum(map(counts.__contains__, sequence))
-            out.append((doc, fold, len(sequence), known, automaton.total, base, automaton.score(sequence, weights)))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds.values())], names=list(kinds))
-
-    kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
-             "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    n = max(1, math.ceil(size / block_bytes))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)))
+    blocks = dealt.mapInArrow(pieces, "block long, piece binary").groupBy("block")
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        block = Block(table, n)
+        words, pairs = block.training()
+        return pa.table({
+            "bucket": pa.array(range(n), pa.int64()), "block": pa.array([key[0].as_py()] * n, pa.int64()),
+            "words": [packed_keys(x) for x in block.words.slices()], "word_n": [packed(x) for x in block.words.slices(words)],
+            "pairs": [packed_keys(x) for x in block.pairs.slices()], "pair_n": [packed(x) for x in block.pairs.slices(pairs)],
+        })
+
+    def answer(table: pa.Table) -> pa.Table:
+        words = [unpacked_keys(x) for x in table["words"].to_pylist()]
+        counts = np.concatenate([unpacked(x, len(w)) for x, w in zip(table["word_n"].to_pylist(), words)])
+        at, (sums,) = added(words, counts)
+        word_n = np.split(sums[at], np.cumsum([len(w) for w in words])[:-1])
+        pairs = [unpacked_keys(x) for x in table["pairs"].to_pylist()]
+        counts = np.concatenate([unpacked(x, len(p)) for x, p in zip(table["pair_n"].to_pylist(), pairs)])
+        at, (pair_sums,) = added(pairs, counts)
+        # The first block that trains on a pair owns it.
+        trained = np.flatnonzero(counts)
+        _, once = np.unique(at[trained], return_index=True)
+        flagged = pair_sums[at] * 2
+        flagged[trained[once]] += 1
+        pair_n = np.split(flagged, np.cumsum([len(p) for p in pairs])[:-1])
+        return pa.table({
+            "bucket": table["bucket"], "block": table["block"],
+            "word_n": [packed(x) for x in word_n], "pair_n": [packed(x) for x in pair_n],
+            "total": pa.array([int(sums.sum())] * len(words), pa.int64()),
+            "distinct": pa.array([int(np.count_nonzero(sums))] * len(words), pa.int64()),
+        })
+
+    asked = blocks.applyInArrow(ask, "bucket long, block long, words binary, word_n binary, pairs binary, pair_n binary")
+    counted = asked.groupBy("bucket").applyInArrow(answer, COUNTED)
+
+    def ask_starts(key: tuple, table: pa.Table, counted: pa.Table) -> pa.Table:
+        block = Block(table, n)
+        counts = Counts(block, counted.to_pylist(), min_share)
+        own = counts.mine & counts.kept
+        pairs = np.bincount(block.first[own], minlength=block.k)
+        mass = np.bincount(block.first[own], counts.pairs[own], minlength=block.k).astype(np.int64)
+        return pa.table({
+            "bucket": pa.array(range(n), pa.int64()), "block": pa.array([key[0].as_py()] * n, pa.int64()),
+            "words": [packed_keys(x) for x in block.words.slices()], "n_pairs": [packed(x) for x in block.words.slices(pairs)],
+            "mass": [packed(x) for x in block.words.slices(mass)],
+        })
+
+    def answer_starts(table: pa.Table) -> pa.Table:
+        words = [unpacked_keys(x) for x in table["words"].to_pylist()]
+        given = [
+            np.concatenate([unpacked(x, len(w)) for x, w in zip(table[c].to_pylist(), words)]) for c in ("n_pairs", "mass")
+        ]
+        at, (pairs, mass) = added(words, *given)
+        cuts = np.cumsum([len(w) for w in words])[:-1]
+        return pa.table({
+            "bucket": table["bucket"], "block": table["block"],
+            "n_pairs": [packed(x) for x in np.split(pairs[at], cuts)], "mass": [packed(x) for x in np.split(mass[at], cuts)],
+        })
+
+    asked = blocks.cogroup(counted.groupBy("block")).applyInArrow(
+        ask_starts, "bucket long, block long, words binary, n_pairs binary, mass binary"
+    )
+    started = asked.groupBy("bucket").applyInArrow(answer_starts, "bucket long, block long, n_pairs binary, mass binary")
+    answers = counted.unionByName(started, allowMissingColumns=True)
+
+    def score(table: pa.Table, answered: pa.Table) -> pa.Table:
+        block = Block(table, n)
+        told = answered.to_pylist()
+        counts = Counts(block, [r for r in told if r["word_n"] is not None], min_share)
+        told = [r for r in told if r["n_pairs"] is not None]
+        n_pairs = block.words.restored({r["bucket"]: r["n_pairs"] for r in told})
+        mass = block.words.restored({r["bucket"]: r["mass"] for r in told})
+        share = (counts.words + 0.5) / (counts.total + 0.5 * (counts.distinct + 1))
+        context = counts.words.copy()
+        context[block.start] = counts.words[block.end]
+        context = np.maximum(context, 1)  # a word without a count starts no pair
+        rest = np.where(n_pairs > 0, np.maximum(1 - (mass - DISCOUNT * n_pairs) / context, 1e-12), 1.0)
+        arcs = np.where(counts.kept, (counts.pairs - DISCOUNT) / context[block.first], 0.0)
+        # An arc of the automaton, or the failure arc and the root's weight.
+        weights = np.log10(arcs + rest[block.first] * share[block.second])[block.pair_at]
+        roots = np.log10(share)[block.tokens[block.inner + 1]]
+        known = (counts.words > 0)[block.tokens[block.inner + 1]]
+        ends = np.cumsum(block.sizes - 1)
+        starts = ends - (block.sizes - 1)
+        spans = list(zip(starts.tolist(), ends.tolist()))
+        return pa.table({
+            "doc_id": block.rows["doc_id"], "held_out": block.rows["held_out"], "n_tokens": pa.array(block.sizes - 1, pa.int64()),
+            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+            "train_tokens": pa.array([counts.total] * len(spans), pa.int64()),
+            "base_score": pa.array([float(roots[a:b].sum()) for a, b in spans], pa.float64()),
+            "score": pa.array([float(weights[a:b].sum()) for a, b in spans], pa.float64()),
+        })
+
+    return blocks.cogroup(answers.groupBy("block")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

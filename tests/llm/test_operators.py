@@ -267,6 +267,24 @@ def test_lm_equals_direct_counting(spark):
         assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=1e-9)
 
 
+def test_lm_keeps_every_training_pair(spark):
+    rng = random.Random(66)
+    names = [f"w{i}" for i in range(900)]
+    docs = [(i, " ".join(rng.choices(names, k=rng.randint(0, 900)))) for i in range(300)]  # 110,000 pairs, most of them once
+    got = {r["doc_id"]: r for r in lm_score.lm_score(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=100_000).collect()}
+    split = {i: [w.encode() for w in t.split()] + [lm_score.END] for i, t in docs}
+    train = [ws for i, ws in split.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one = collections.Counter(w for ws in train for w in ws)
+    at = {w: i for i, w in enumerate(one)} | {None: len(one)}
+    two = collections.Counter(at[h] * (len(one) + 1) + at[w] for ws in train for h, w in zip([None, *ws], ws))
+    model = lm_score.Backoff(dict(one), dict(two), len(train), sum(one.values()), len(one))
+    root = lm_score.Weights((w, math.log10(model.share(n))) for w, n in one.items())
+    root.unknown = math.log10(model.share(0))
+    assert sum(one.values()) > 100_000 and min(two.values()) == 1
+    for i, ws in split.items():
+        assert math.isclose(got[i]["score"], model.score(ws, root), rel_tol=1e-9)
+
+
 def test_end_token_is_known_behind_long_texts(spark):
     ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
     df = spark.createDataFrame([(i, "of the " * 75_000) for i in ids], "doc_id long, text string")
