@@ -1,8 +1,14 @@
 """HTML extraction by composite text density.
 
-The page becomes a tree.  Elements that are boilerplate by name, role or class
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are left out; every other node gets a link-adjusted density:
+The page becomes a tree.  Elements that are boilerplate by name or role (menus,
+headers, footers, forms, scripts, styles) or hidden are left out.  Words of class
+and id values (adverts, sidebars, notices, reader comments) are weighed with what
+the element holds.  An element of which a whole value is made of such words is
+left out, unless it holds most of the page's text while article and main elements
+outside have less than a tenth of that.  If only a part of a value is such a word
+("related-work", "no-sidebar"), it is left out only where it is mostly links.
+Headings and paragraphs are never left out for such words.  Every other node gets
+a link-adjusted density:
 characters per tag, damped by the share of its characters and tags that are
 links, against the share on the whole body.  The density sum of a node adds up
 its children's densities, so that an article of many paragraphs beats each of
@@ -56,7 +62,14 @@ MARKS = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social comment comments disqus replies respond "
     "related recommended pagination pager toolbar skip widget copyright disclaimer form".split()
 )
-KEPT = frozenset(("html", "body", "article", "main"))
+#: Words that may stand beside them in a value and tell nothing else.
+BESIDE = frozenset(
+    "area article bar block body bottom box button buttons card cell col column container entry group head icon icons inner "
+    "item items js left link links list main module outer page panel post reader right row section site slot strip title top "
+    "unit user wrap wrapper zone".split()
+)
+#: Elements that such words never announce.
+KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
@@ -69,31 +82,37 @@ _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "mark")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent = name, parent
         self.parts: list[Node | str] = []
+        self.mark = 0  # 1: class or id has a word of boilerplate, 2: a whole value says so
 
 
-def _is_boilerplate(name: str, attrs: str) -> bool:
+def _judged(name: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is boilerplate whatever it holds, and its mark."""
     if name in BOILERPLATE:
-        return True
-    if name in KEPT or not attrs.strip():
-        return False
+        return True, 0
+    if name in ("html", "body", "article", "main") or not attrs.strip():
+        return False, 0
     values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)}
     if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
-        return True
+        return True, 0
     if values.get("role", "").lower() in ROLES:
-        return True
-    marks = values.get("class", "") + " " + values.get("id", "")
-    if "header" in marks.lower().split():
-        return True
-    return any(w.lower() in MARKS for w in _WORDS.findall(marks))
+        return True, 0
+    mark = 0
+    if name not in KEPT:
+        for token in (values.get("class", "") + " " + values.get("id", "")).split():
+            words = [w.lower() for w in _WORDS.findall(token)]
+            if token.lower() == "header" or any(w in MARKS for w in words):
+                whole = all(w in MARKS or w in BESIDE or w == "header" or w.isdigit() for w in words)
+                mark = max(mark, 2 if whole else 1)
+    return False, mark
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without its boilerplate; raw elements and their contents are left out too."""
+    """The tree of a page without its certain boilerplate; raw elements and their contents are left out too."""
     root = Node("body", None)
     stack, dropped, at = [root], 0, 0  # dropped: the depth below which nothing is kept
 
@@ -145,12 +164,13 @@ def parse(page: str) -> Node:
             end_open(("p",))
             end_open(ENDS.get(name, ()))
         node = Node(name, stack[-1])
+        certain, node.mark = (False, 0) if dropped else _judged(name, attrs)
         if not dropped:
             stack[-1].parts.append(node)
         if name in VOID:
             continue
         stack.append(node)
-        if not dropped and _is_boilerplate(name, attrs):
+        if certain:
             stack[-2].parts[-1] = " " if name not in BLOCK else Node("hr", stack[-2])
             dropped = len(stack)
 
@@ -189,6 +209,38 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def prune(root: Node) -> None:
+    """Leave out the marked nodes that hold what their marks say."""
+    if not any(n.mark for n in nodes_of(root)):
+        return
+    nodes = measure(root)
+    scoped: dict[int, int] = {}  # characters of article and main elements, by node
+    for node in reversed(nodes):
+        below = sum(scoped[id(p)] for p in node.parts if p.__class__ is Node)
+        scoped[id(node)] = node.chars if node.name in ("article", "main") else below
+    kept = [root]
+    for node in kept:
+        for k, p in enumerate(node.parts):
+            if p.__class__ is not Node:
+                continue
+            if p.mark == 2:
+                # Long comments may outweigh an article, but not an article's own body.
+                outside = 0 if _in_scope(node) else scoped[id(root)] - scoped[id(p)]
+                drop = 2 * p.chars <= root.chars or 10 * outside >= p.chars
+            else:
+                drop = p.mark == 1 and 2 * p.link_chars > p.chars
+            if drop:
+                node.parts[k] = Node("hr", node) if p.name in BLOCK else " "
+            else:
+                kept.append(p)
+
+
+def _in_scope(node: Node | None) -> bool:
+    while node is not None and node.name not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def select(root: Node) -> dict[int, bool]:
     """Nodes to print (True) or to leave out (False), by identity; others follow their parents."""
     nodes = measure(root)
@@ -240,6 +292,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    prune(root)
     return "\n".join(blocks_of(root, select(root)))
 
 

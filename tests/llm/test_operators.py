@@ -442,6 +442,34 @@ def test_article_without_semantic_elements():
     assert html_extract.main_text(page) == "\n".join([*(p.strip() for p in paragraphs), "End."])
 
 
+PROSE = "A sentence of running text that says something about the matter at hand. " * 3
+
+
+@pytest.mark.parametrize("part", [
+    '<h2 id="related-work">', '<section id="social-impact">', '<p class="long-form">', '<p class="notice">', '<div class="content no-sidebar">',
+])
+def test_words_of_class_and_id_do_not_drop_text(part):
+    name = part[1:].split()[0]
+    page = f"<body><article><h1>Head</h1><p>{PROSE}</p>{part}Kept part</{name}><p>{PROSE}</p></article></body>"
+    assert html_extract.main_text(page) == "\n".join(["Head", PROSE.strip(), "Kept part", PROSE.strip()])
+
+
+@pytest.mark.parametrize("mark", ["content no-sidebar", "has-comments", "widget", "form"])
+def test_a_wrapper_with_the_page_is_kept(mark):
+    page = f'<body><nav>menu</nav><div class="{mark}"><p>{PROSE}</p><p>{PROSE}</p><div class="ad">Buy this</div></div></body>'
+    assert html_extract.main_text(page) == "\n".join([PROSE.strip()] * 2)
+
+
+def test_a_marked_body_of_an_article_is_kept():
+    assert html_extract.main_text(f'<article><h1>Head</h1><div class="widget"><p>{PROSE}</p></div></article>') == f"Head\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize("mark", ["comments", "cookie-notice", "sidebar left", "adBanner", "comment-list", "ad-slot-1"])
+def test_marked_boilerplate_is_left_out(mark):
+    page = f'<body><article><p>{PROSE}</p><p>{PROSE}</p></article><div class="{mark}"><p>{PROSE * 5}</p></div></body>'
+    assert html_extract.main_text(page) == "\n".join([PROSE.strip()] * 2)
+
+
 # --- 10: decontamination ------------------------------------------------------------------
 
 
