@@ -1,12 +1,14 @@
-"""Benchmark decontamination by spaced seeds.
-
-A mask is a fixed pattern of token positions that count and positions that are
-ignored.  The words under a mask are hashed at every place of the benchmark and
-of the documents, and equal hashes are joined: a passage with replaced words
-still has places where the replaced words fall on ignored positions.  Each hit
-names an item and an offset; along that alignment the longest stretch with few
-replaced words is found and counts if it has ``min_overlap`` equal words (or
-the whole of a shorter item) and at least ``min_share`` of its words are equal.
+"""Benchmark decontamination by seeds that miss no passage.
+
+A passage is a stretch of a document that stands against an item word by word,
+with at least ``min_overlap`` equal words (or the whole of a shorter item) that
+make up at least ``min_share`` of it.  A stretch of e equal words with m replaced
+ones has at most m + 1 runs, so at least e - (q - 1)(m + 1) places of q equal
+words in a row; the seed's length q is the largest for which that is positive for
+all stretches that qualify (three words by default, at two places at least).  The
+seeds of the benchmark and of the documents are hashed and equal hashes joined;
+each hit names an item and an offset.  Along every alignment with enough hits the
+stretch with the most equal words that keeps the share is found by prefix sums.
 
 The benchmark side of the join is broadcast in blocks of at most
 ``BLOCK_CHARS`` characters, each block against all documents, so its size has a
@@ -15,7 +17,7 @@ nothing is shuffled, so a passage that a third of the documents hold costs what
 any passage costs.
 
 Defined cases: null text has no words and is clean; items of fewer words than a
-mask spans are sought as they are, items without words never match; repeated
+seed has are sought as they are, items without words never match; repeated
 documents and items give repeated results; empty tables give empty tables.
 """
 
@@ -31,9 +33,8 @@ from pyspark.sql import functions as F
 
 from pixloom.llm.common import bounded_batches, small_batches, utf8
 
-#: Spaced seeds, 1 for a position that counts.
-MASKS = ("111010010111", "110110110101", "11110001111", "11111111")
 BLOCK_CHARS = 8_000_000
+HELD_HITS = 1_000_000  # hits of a document that are counted at a time
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
@@ -52,64 +53,94 @@ def _mixed(ids: np.ndarray, at: np.ndarray, offsets: list[int]) -> np.ndarray:
     return h
 
 
+def _missed(equal: int, min_share: float) -> int:
+    """How many replaced words a stretch of so many equal words may have."""
+    return int(equal * (1 - min_share) / min_share + 1e-9)
+
+
+def seed_length(min_overlap: int, min_share: float) -> tuple[int, int]:
+    """The longest run that all passages have, and at how many places at least."""
+    best = (1, min_overlap)
+    for q in range(2, min_overlap + 1):
+        # A replaced word more takes q - 1 places and comes with (q - 1) equal words at least, or no length q will do.
+        if (q - 1) * (1 - min_share) > min_share - 1e-9 and min_share < 1:
+            break
+        least = min(e - (q - 1) * (_missed(e, min_share) + 1) for e in range(min_overlap, 50 * min_overlap + 1))
+        if least < 1:
+            break
+        best = (q, least)
+    return best
+
+
 class Seeds:
     """The hashed places of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int, bytes]], min_overlap: int = 10, min_share: float = 0.75):
         self.items = [(item, words(text)) for item, text in items]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws))}
         self.codes = [np.array([self.ids[w] for w in ws], np.int32) for _, ws in self.items]
-        self.offsets: list[list[int]] = [[i for i, c in enumerate(m) if c == "1"] for m in masks]
-        #: Short items are sought as a whole: a mask of ones as long as the item.
-        shortest = min(map(len, masks))
-        self.offsets += [list(range(n)) for n in sorted({len(c) for c in self.codes if 0 < len(c) < shortest})]
-        self.tables = []
-        for k, offsets in enumerate(self.offsets):
-            hashes, places = [], []
-            for item, codes in enumerate(self.codes):
-                if k >= len(masks) and len(codes) != len(offsets):
-                    continue
-                at = np.arange(len(codes) - offsets[-1])
-                hashes.append(_mixed(codes, at, offsets))
-                places += [(item, int(a)) for a in at]
-            joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            order = np.argsort(joined, kind="stable")
-            self.tables.append((joined[order], [places[i] for i in order]))
-
-    def hits(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the document against it) of all equal hashes."""
-        found = set()
+        length, least = seed_length(min_overlap, min_share)
+        sizes = np.array([len(c) for c in self.codes], np.int64)
+        #: Hits that an alignment with a passage has at least; an item below min_overlap words is sought as a whole.
+        self.least = np.where(sizes >= min_overlap, least, np.minimum(least, np.maximum(sizes - length + 1, 1)))
+        self.tables: list[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in sorted({min(length, len(c)) for c in self.codes if len(c)}):
+            offsets = list(range(n))
+            own = [(k, c) for k, c in enumerate(self.codes) if min(length, len(c)) == n]
+            at = [np.arange(len(c) - n + 1) for _, c in own]
+            hashes = np.concatenate([_mixed(c, a, offsets) for (_, c), a in zip(own, at)])
+            order = np.argsort(hashes, kind="stable")
+            item = np.repeat(np.array([k for k, _ in own], np.int64), [len(a) for a in at])
+            self.tables.append((offsets, hashes[order], item[order], np.concatenate(at)[order]))
+
+    def hits(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(item, offset of the document against it) of all alignments with enough equal hashes."""
+        found: dict[int, int] = {}
         known = codes >= 0
-        for offsets, (hashes, places) in zip(self.offsets, self.tables):
+        for offsets, hashes, item, place in self.tables:
             n = len(codes) - offsets[-1]
-            if n <= 0 or not len(hashes):
+            if n <= 0:
                 continue
             at = np.flatnonzero(reduce(np.logical_and, [known[o : o + n] for o in offsets]))
             if not len(at):
                 continue
             mine = _mixed(codes, at, offsets)
             low = np.searchsorted(hashes, mine)
-            for i in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == mine):
-                k = int(low[i])
-                while k < len(hashes) and hashes[k] == mine[i]:
-                    found.add((places[k][0], int(at[i]) - places[k][1]))
-                    k += 1
-        return found
+            equal = hashes[np.minimum(low, len(hashes) - 1)] == mine
+            at, low = at[equal], low[equal]
+            times = np.searchsorted(hashes, mine[equal], "right") - low
+            ends = np.cumsum(times)
+            start = 0
+            while start < len(at):
+                done = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + HELD_HITS, "right")))
+                some = times[start:stop]
+                k = np.repeat(low[start:stop] - (ends[start:stop] - some - done), some) + np.arange(int(ends[stop - 1]) - done)
+                lines, counts = np.unique((item[k] << 32) + np.repeat(at[start:stop], some) - place[k] + (1 << 31), return_counts=True)
+                if start == 0 and stop == len(at):
+                    enough = counts >= self.least[lines >> 32]
+                    lines, counts = lines[enough], counts[enough]
+                for line, c in zip(lines.tolist(), counts.tolist()):
+                    found[line] = found.get(line, 0) + c
+                start = stop
+        return [(line >> 32, (line & 0xFFFFFFFF) - (1 << 31)) for line, c in sorted(found.items()) if c >= self.least[line >> 32]]
 
     def overlap(self, item: int, codes: np.ndarray, offset: int, min_share: float) -> tuple[int, int, int]:
-        """Of one alignment: equal words, start and end in the document of the best stretch."""
+        """Of one alignment: equal words, start and end in the document of the stretch with the most that keeps the share."""
         own = self.codes[item]
         start, stop = max(0, offset), min(len(codes), offset + len(own))
         equal = codes[start:stop] == own[start - offset : stop - offset]
-        # An equal word earns what a share of min_share needs, so a stretch pays if it keeps the share.
-        best, run, begin = (0.0, 0, 0), 0.0, 0
-        for i, same in enumerate(equal.tolist()):
-            run += (1 - min_share) if same else -min_share
-            if run <= 1e-12:
-                run, begin = 0.0, i + 1
-            elif run > best[0]:
-                best = (run, begin, i + 1)
-        return int(equal[best[1] : best[2]].sum()), start + best[1], start + best[2]
+        # A stretch keeps the share if the surplus at its end is no less than at its start: for each end, the first such start.
+        count = np.concatenate(([0], np.cumsum(equal)))
+        surplus = count - min_share * np.arange(len(count))
+        first = np.searchsorted(-np.minimum.accumulate(surplus), -surplus - 1e-9)
+        most = count - count[first]
+        end = int(np.argmax(most))
+        if not most[end]:
+            return 0, start, start
+        begin = int(first[end])
+        begin += int(np.argmax(equal[begin:end]))
+        return int(most[end]), start + begin, start + end
 
 
 def matches_of(seeds: Seeds, tokens: list[bytes], min_overlap: int, min_share: float) -> list[dict]:
@@ -117,7 +148,7 @@ def matches_of(seeds: Seeds, tokens: list[bytes], min_overlap: int, min_share: f
     get = seeds.ids.get
     codes = np.fromiter([get(w, -1) for w in tokens], np.int32, len(tokens))
     best: dict[int, tuple[int, int, int]] = {}
-    for item, offset in sorted(seeds.hits(codes)):
+    for item, offset in seeds.hits(codes):
         equal, start, stop = seeds.overlap(item, codes, offset, min_share)
         enough = equal >= min(min_overlap, len(seeds.codes[item]))
         if enough and (item not in best or (equal, -start) > (best[item][0], -best[item][1])):
@@ -160,7 +191,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(shared.value)
+            seeds = Seeds(shared.value, min_overlap, min_share)
             for batch in small_batches(batches):
                 found = [
                     (doc, passages)

@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and held-out accuracy."""
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -518,6 +519,25 @@ def test_passages_equal_brute_force():
         assert set(got) <= set(want) and all(item in got for item, best in want.items() if best >= 16)
 
 
+def test_every_passage_that_qualifies_is_found():
+    rng = random.Random(14)
+    item = [f"w{i}".encode() for i in range(24)]
+    seeds = decontam.Seeds([(7, b" ".join(item))])
+    cases = [(n, at) for n, m in ((11, 1), (12, 1), (12, 2), (13, 2), (13, 3), (14, 3), (15, 2)) for at in itertools.combinations(range(n), m)]
+    cases += [(n, tuple(rng.sample(range(n), m))) for n, m in ((16, 4), (20, 3), (20, 4), (20, 5), (24, 6)) for _ in range(300)]
+    for n, replaced in cases:
+        start = rng.randint(0, len(item) - n)
+        text = [b"x" if i in replaced else item[start + i] for i in range(n)]
+        equal = [int(w != b"x") for w in text]
+        # Plainly: all stretches, with neither seeds nor overlap().
+        best = max(sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 4 * sum(equal[a:b]) >= 3 * (b - a))
+        got = decontam.matches_of(seeds, [b"before", *text, b"after"], 10, 0.75)
+        assert [m["equal_words"] for m in got] == ([best] if best >= 10 else []), (n, replaced)
+        for m in got:
+            inside = equal[m["first_word"] - 1 : m["stop_word"] - 1]
+            assert sum(inside) == best and 4 * best >= 3 * len(inside) and inside[0] and inside[-1]
+
+
 def test_bucket_forms_agree(monkeypatch):
     import numpy as np
     import pyarrow as pa
