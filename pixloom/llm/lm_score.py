@@ -38,18 +38,15 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixloom.llm.common import bounded_batches, utf8
+from pixloom.llm.common import bounded_batches, lean, pieces, unpacked_piece, utf8
 
 START = b" "  # the place before a text; no word has white space
 END = b""  # no word is empty
 DISCOUNT = 0.75
 BLOCK_BYTES = 16 << 20  # text of one scoring block
-PIECE_BYTES = 16 << 20  # text that a task holds to compress it by block
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -92,34 +89,6 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, piece): the rows of each block, compressed together as far as a task meets them."""
-
-    def flushed() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        table = table.take(pa.compute.sort_indices(table["block"]))
-        block = table["block"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        out = []
-        for start, stop in zip(cuts, cuts[1:]):
-            sink = pa.BufferOutputStream()
-            part = table.slice(start, stop - start).drop_columns("block").combine_chunks()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_table(part)
-            out.append(sink.getvalue().to_pybytes())
-        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int64()), pa.array(out, pa.binary())], names=["block", "piece"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.nbytes for b in held) > PIECE_BYTES:
-            yield flushed()
-            held = []
-    if held:
-        yield flushed()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -159,7 +128,7 @@ class Block:
         self.start, self.end = number[START], number[END]
         parts, sizes, rows = [], [], []
         for piece in table["piece"]:
-            texts = pa.ipc.open_stream(piece.as_buffer()).read_all()
+            texts = unpacked_piece(piece)
             rows.append(texts.select(["doc_id", "held_out"]))
             for text in texts["text"]:
                 words = tokens(text.as_py())
@@ -282,7 +251,7 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
     # Blocks are dealt by a hash of the document, so that their number follows the bytes and no source is hot.
     n = max(1, math.ceil(size / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)))
-    blocks = dealt.mapInArrow(pieces, "block long, piece binary").groupBy("block")
+    blocks = dealt.mapInArrow(lean(pieces), "block long, piece binary").groupBy("block")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table, n)
