@@ -14,9 +14,9 @@ part of it that is their common prefix.
 
 A text is cut at single spaces between other characters, which no token
 crosses; only distinct segments meet the pre-tokenizer's pattern, and only
-distinct words meet the trie.  Segment results are kept for the life of a
-worker, up to ``KEPT_SEGMENTS`` (then the store is emptied; results do not
-depend on it).
+distinct words meet the trie.  Segment results are kept for the life of a task,
+up to ``KEPT_SEGMENTS`` (then the store is emptied; results do not depend on it).
+Longer texts are encoded a stretch at a time, cut at such a space too.
 
 Results equal those of the tokenizers library for the same vocabulary file.
 Rows are mapped one by one: no shuffle, so nothing can be hot.  The vocabulary
@@ -41,17 +41,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixloom.llm.common import bounded_batches, small_batches, utf8
+from pixloom.llm.common import bounded_batches, lean, small_batches, utf8
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-KEPT_SEGMENTS = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT_SEGMENTS = 150_000  # about 30 MB
+KEPT_CHARS = 4_000_000  # of all segments that are kept
+KEPT_PAIRS = 300_000  # about 30 MB
+GROUP_CHARS = 1 << 20  # text that is encoded at a time
 
 #: White space but spaces and line ends; a text that has some is cut by the pattern alone.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: A single space between other characters.
+_BORDER = re.compile(r"\S(?= \S)")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in vocabulary files: itself if visible, else from U+0100 on."""
@@ -130,6 +135,7 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         #: Encodings of segments as they are, and of segments behind a space (kept without it).
         self.segments: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.kept_chars = 0
 
     def edge(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
         """The pieces that stand at one end of a token while it is being merged, each with the rank of the merge that ends it."""
@@ -217,31 +223,62 @@ class Encoder:
                 spaced[word[1:]] = ids
             else:
                 plain[word] = ids
+        self.kept_chars += sum(map(len, words)) + sum(map(len, cut_plain)) + sum(map(len, cut_spaced))
         for cut, known in ((cut_plain, plain), (cut_spaced, spaced)):
             for s, ws in cut.items():
                 known[s] = b"".join([spaced[w[1:]] if w[0] == " " else plain[w] for w in ws])
 
-    def cut(self, text: str) -> tuple[list[str], list[str]]:
-        """The text as segments in a row: those to take as they are, then those that a space precedes."""
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text):
-            return self.split(text), []
+    def cut(self, text: str, spaced: bool = False) -> tuple[list[str], list[str]]:
+        """The text (behind a space, if said so) as segments in a row: those to take as they are, then those that a space precedes."""
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or text[0] == "\n" and spaced or _OTHER_SPACE.search(text):
+            return self.split(" " + text if spaced else text), []
         head, *rest = text.split(" ")
-        return [head], rest
+        return ([], [head, *rest]) if spaced else ([head], rest)
+
+    def stretches(self, text: str) -> Iterator[tuple[str, bool]]:
+        """A long text in parts, and whether a space stood before the part."""
+        at = 0
+        while len(text) - at > GROUP_CHARS and not any(" " in t for t in self.vocabulary.added):
+            m = _BORDER.search(text, at + GROUP_CHARS)
+            if not m:
+                break
+            yield text[at : m.start() + 1], at > 0
+            at = m.start() + 2
+        yield text[at:], at > 0
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
-        texts = list(texts)
-        cut: list[list[tuple[list[str], list[str]] | int]] = []
+        out: list[list[bytes]] = []
+        group: list[tuple[str, bool]] = []
+        rows: list[int] = []
+        size = 0
         for text in texts:
+            out.append([])
+            for part in self.stretches(text):
+                group.append(part)
+                rows.append(len(out) - 1)
+                size += len(part[0])
+                if size >= GROUP_CHARS:
+                    for row, ids in zip(rows, self.encode_group(group)):
+                        out[row].append(ids)
+                    group, rows, size = [], [], 0
+        for row, ids in zip(rows, self.encode_group(group)):
+            out[row].append(ids)
+        return [b"".join(ids) for ids in out]
+
+    def encode_group(self, texts: list[tuple[str, bool]]) -> list[bytes]:
+        cut: list[list[tuple[list[str], list[str]] | int]] = []
+        for text, behind in texts:
             if self.added and any(t in text for t in self.vocabulary.added):
-                parts = self.added.split(text)
+                parts = self.added.split(" " + text if behind else text)
                 cut.append([self.vocabulary.added[p] if i % 2 else self.cut(p) for i, p in enumerate(parts) if p])
             else:
-                cut.append([self.cut(text)] if text else [])
+                cut.append([self.cut(text, behind)] if text else [])
         plain, spaced = self.segments
-        if len(plain) + len(spaced) > KEPT_SEGMENTS:
+        if len(plain) + len(spaced) > KEPT_SEGMENTS or self.kept_chars > KEPT_CHARS:
             plain.clear()
             spaced.clear()
+            self.kept_chars = 0
         found: list[list[tuple[list[str], dict[str, bytes], list[bytes | None]]]] = []
         new_plain: set[str] = set()
         new_spaced: set[str] = set()
@@ -271,23 +308,11 @@ class Encoder:
         return b"".join([tokens[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_for(source: str, key: str) -> Encoder:
-    """One encoder for each vocabulary and worker process."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(source))
-    return _encoders[key]
-
-
 def mapper(spark: SparkSession, path: str) -> Callable[[], Encoder]:
-    """A function that tasks call for their encoder; the file is read here, on the driver."""
+    """A function that makes an encoder, for one task; the file is read here, on the driver."""
     with open(path, encoding="utf-8") as f:
-        source = f.read()
-    key, shared = hashlib.sha256(source.encode()).hexdigest(), spark.sparkContext.broadcast(source)
-    return lambda: encoder_for(shared.value, key)
+        shared = spark.sparkContext.broadcast(f.read())
+    return lambda: Encoder(Vocabulary(shared.value))
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -314,5 +339,5 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             )
 
     return bounded_batches(docs).select(F.col(id_col).cast("long"), utf8(text_col)).mapInArrow(
-        run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+        lean(run), f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     )

@@ -21,6 +21,7 @@ table and repeated rows repeated results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixloom.llm.common import bounded_batches, small_batches, utf8
+from pixloom.llm.common import bounded_batches, lean, small_batches, utf8
 
 BUCKETS = 1 << 14
 DIMENSION = 16
@@ -43,6 +44,7 @@ WINDOW = 1 << 18  # bytes hashed at a time
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LETTER = regex.compile(r"\p{L}")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def normal(text: bytes) -> bytes:
@@ -50,7 +52,7 @@ def normal(text: bytes) -> bytes:
 
 
 def has_letter(text: bytes) -> bool:
-    return _LETTER.search(text.decode("utf-8", "replace")) is not None
+    return _ASCII_LETTER.search(text) is not None or _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
 def buckets_of(data: np.ndarray) -> np.ndarray:
@@ -82,20 +84,20 @@ class Model:
         """Probabilities, one row for each text; whole texts, in windows of bounded size."""
         plain = [normal(t) for t in texts]
         sizes = np.array([max(0, len(p) - 2) for p in plain])
-        data = np.frombuffer(b"".join(plain), np.uint8)
-        owner = np.repeat(np.arange(len(plain)), [len(p) for p in plain])
         last = np.cumsum([len(p) for p in plain])
+        starts = last - [len(p) for p in plain]
+        data = np.frombuffer(b"".join(plain), np.uint8)
         sums = np.zeros((len(plain), len(self.languages)))
         for at in range(0, max(0, len(data) - 2), WINDOW):
-            part = data[at : at + WINDOW + 2]
-            grams = buckets_of(part)
-            own = owner[at : at + grams.shape[1]]
-            inside = np.arange(at, at + grams.shape[1]) < last[own] - 2  # n-grams do not cross texts
-            own, grams = own[inside], grams[:, inside]
-            if not len(own):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            sums[own[first]] += np.add.reduceat(self.logits[grams[0]] + self.logits[grams[1]], first, axis=0)
+            grams = buckets_of(data[at : at + WINDOW + 2])
+            stop = at + grams.shape[1]
+            own = np.arange(np.searchsorted(last, at, "right"), np.searchsorted(starts, stop))
+            # From each text's first n-gram in the window to the last one that does not cross into the next text.
+            spans = np.stack((np.maximum(starts[own], at), np.minimum(starts[own] + sizes[own], stop))) - at
+            own, spans = own[spans[0] < spans[1]], spans[:, spans[0] < spans[1]]
+            if len(own):
+                weights = np.concatenate((self.logits[grams[0]] + self.logits[grams[1]], np.zeros((1, sums.shape[1]))))
+                sums[own] += np.add.reduceat(weights, spans.T.ravel(), axis=0)[::2]
         z = sums / np.maximum(1, 2 * sizes)[:, None] + self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
             )
 
     got = sample.select(F.col(id_col).cast("long"), utf8(text_col), F.col(lang_col)).mapInArrow(
-        run, "doc_id long, lang string, ids binary, shares binary"
+        lean(run), "doc_id long, lang string, ids binary, shares binary"
     ).collect()
     got.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["lang"], bytes(r["ids"])))
     return train([(np.frombuffer(r["ids"], np.uint16).astype(np.int64), np.frombuffer(r["shares"], np.float32).astype(np.float64), r["lang"]) for r in got if r["ids"]])
@@ -203,4 +205,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     for name, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_rejected", "boolean")):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
