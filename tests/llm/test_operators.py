@@ -215,6 +215,17 @@ def test_bpe_equals_the_library(tokenizer):
         assert encoder.decode(got) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_stretches(tokenizer, monkeypatch):
+    library, encoder, _ = tokenizer
+    rng = random.Random(4)
+    pieces = ["a", "b", " ", " ", "  ", "\n", "é", "1", ".", "'s", "<|endoftext|>", "word", "\t", "\u3000", "!"]
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    for chars in (1, 7):
+        monkeypatch.setattr(bpe, "GROUP_CHARS", chars)
+        for text, want in zip(made, library.encode_batch(made, add_special_tokens=False)):
+            assert memoryview(encoder.encode_batch([text])[0]).cast("I").tolist() == want.ids, text
+
+
 def test_walk_equals_plain_merging(tokenizer):
     _, encoder, _ = tokenizer
     rng = random.Random(4)
@@ -349,11 +360,13 @@ def test_windows_add_up(monkeypatch):
 # --- 8: Jaccard join -------------------------------------------------------------------
 
 
+def shingles_plainly(text, words=5):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(ws[k : k + words]) for k in range(len(ws) - words + 1)} or ({tuple(ws)} if ws else set())
+
+
 def components_plainly(docs, words=5, percent=75):
-    sets = {}
-    for i, text in docs:
-        ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        sets[i] = {tuple(ws[k : k + words]) for k in range(len(ws) - words + 1)} or ({tuple(ws)} if ws else set())
+    sets = {i: shingles_plainly(text, words) for i, text in docs}
     root = {i: i for i in sets}
 
     def find(i):
@@ -408,6 +421,44 @@ def test_sets_do_not_depend_on_batches(monkeypatch):
     assert [s.tolist() for s in jaccard_join.shingle_sets(texts)] == want
 
 
+def test_signatures_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        common = rng.integers(0, 1 << 63, int(rng.integers(0, 300)), np.uint64)
+        p, q = (np.unique(np.concatenate((common, rng.integers(0, 1 << 63, int(rng.integers(1, 200)), np.uint64)))) for _ in range(2))
+        differ = len(np.setxor1d(p, q))
+        bound = jaccard_join.apart(jaccard_join.signature(p), jaccard_join.signature(q))
+        assert bound <= differ and (differ - bound) % 2 == 0 and bound == jaccard_join.apart(jaccard_join.signature(q), jaccard_join.signature(p))
+
+
+def test_jaccard_links_are_all_links(spark):
+    rng = random.Random(19)
+    made = [None, "", "one", "one"] + [t for _ in range(15) for t in near_copies(rng, prose(rng, rng.randint(20, 90)), 6, 4)]
+    docs = list(enumerate(made))
+    links, members = jaccard_join.jaccard_links(spark.createDataFrame(docs, "doc_id long, text string"))
+    class_of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    sets = {i: s for i, s in ((i, shingles_plainly(t)) for i, t in docs) if s}
+    assert class_of == {i: min(j for j, t in sets.items() if t == s) for i, s in sets.items()}
+    reps = sorted(set(class_of.values()))
+    want = {(b, a) for a, b in itertools.combinations(reps, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in links.collect()} == want and want
+
+
+def test_one_of_each(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 60), prose(rng, 40)
+    near = " ".join([*a.split()[:-1], "end"])
+    rows = [(5, a), (3, near), (3, near), (None, a), (None, b), (None, b), (None, None), (None, None), (7, ""), (7, prose(rng, 30)), (2, b.upper()), (8, "x"), (8, "y")]
+    docs = spark.createDataFrame([(*r, k, "c") for k, r in enumerate(rows)], "doc_id long, text string, key long, component string")
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert got == sorted([(3, near), (2, b.upper()), *[(None, None)] * 2, (7, ""), rows[9], (8, "x"), (8, "y")], key=str)
+    assert jaccard_join.one_of_each(docs.where("false")).collect() == []
+
+
 # --- 9: HTML ---------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -493,71 +544,115 @@ def test_passages_with_replaced_words(spark):
     found = decontam.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {r["doc_id"]: [p["item_id"] for p in r["passages"]] for r in found.collect()}
     assert got == {i: [item] for i, item in want.items()} | {102: [52]}
-    parts = decontam.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=300)
-    assert {r["doc_id"]: [p["item_id"] for p in r["passages"]] for r in parts.collect()} == got
 
 
-def test_passages_equal_brute_force():
+def passages_plainly(items, text):
+    """(item id, equal words) of all items, by every stretch of every alignment."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    words, best = cut(text), {}
+    for name, own in items:
+        own = cut(own)
+        for offset in range(-len(own) + 1, len(words)):
+            equal = [int(words[offset + k] == w) for k, w in enumerate(own) if 0 <= offset + k < len(words)]
+            for a in range(len(equal)):
+                total = 0
+                for b in range(a, len(equal)):
+                    total += equal[b]
+                    if own and total >= min(10, len(own)) and 4 * total >= 3 * (b + 1 - a) and total > best.get(name, 0):
+                        best[name] = total
+    return best
+
+
+def test_passages_equal_brute_force(spark):
     rng = random.Random(13)
-    items = [(i, prose(rng, rng.randint(12, 40)).encode()) for i in range(8)]
-    seeds = decontam.Seeds(items)
-    for trial in range(200):
-        words = prose(rng, 60).encode().split()
-        _, text = rng.choice(items)
-        passage = decontam.words(text)
-        cut = passage[rng.randint(0, 5) :][: rng.randint(6, 30)]
-        cut = [w if rng.random() < 0.9 else b"other" for w in cut]
-        words[10:10] = cut
-        got = {m["item_id"]: m["equal_words"] for m in decontam.matches_of(seeds, words, 10, 0.75)}
-        codes = __import__("numpy").array([seeds.ids.get(w, -1) for w in words], "int32")
-        want = {}
-        for k, (item, own) in enumerate(seeds.items):
-            best = max(seeds.overlap(k, codes, o, 0.75)[0] for o in range(-len(own) + 1, len(words)))
-            if best >= min(10, len(own)):
-                want[item] = best
-        # A stretch of ten equal words may miss every seed only where words are replaced at every seed; long clean runs never are.
-        assert set(got) <= set(want) and all(item in got for item, best in want.items() if best >= 16)
-
-
-def test_every_passage_that_qualifies_is_found():
-    rng = random.Random(14)
-    item = [f"w{i}".encode() for i in range(24)]
-    seeds = decontam.Seeds([(7, b" ".join(item))])
-    cases = [(n, at) for n, m in ((11, 1), (12, 1), (12, 2), (13, 2), (13, 3), (14, 3), (15, 2)) for at in itertools.combinations(range(n), m)]
-    cases += [(n, tuple(rng.sample(range(n), m))) for n, m in ((16, 4), (20, 3), (20, 4), (20, 5), (24, 6)) for _ in range(300)]
-    for n, replaced in cases:
-        start = rng.randint(0, len(item) - n)
-        text = [b"x" if i in replaced else item[start + i] for i in range(n)]
-        equal = [int(w != b"x") for w in text]
-        # Plainly: all stretches, with neither seeds nor overlap().
-        best = max(sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 4 * sum(equal[a:b]) >= 3 * (b - a))
-        got = decontam.matches_of(seeds, [b"before", *text, b"after"], 10, 0.75)
-        assert [m["equal_words"] for m in got] == ([best] if best >= 10 else []), (n, replaced)
-        for m in got:
-            inside = equal[m["first_word"] - 1 : m["stop_word"] - 1]
-            assert sum(inside) == best and 4 * best >= 3 * len(inside) and inside[0] and inside[-1]
+    items = [(i, prose(rng, rng.randint(10, 30))) for i in range(6)] + [(7, "q w e r t y"), (8, "the of"), (9, " ".join("ab" * 9)), (None, prose(rng, 14)), (10, "a a a a a a a a a a a a b c")]
+    docs = []
+    for i in range(150):
+        words = prose(rng, rng.randint(0, 25)).split()
+        passage = rng.choice(items)[1].split()[rng.randint(0, 3) :][: rng.randint(4, 30)]
+        words[5:5] = [w if rng.random() < 0.85 else "other" for w in passage]
+        docs.append((i, " ".join(words)))
+    docs += [(200, "a a a a a a b c a a a a a a a a a a b"), (201, "say a b a b a b a b a b a b then")]
+    found = decontam.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: {p["item_id"]: p["equal_words"] for p in r["passages"]} for r in found.collect()}
+    assert got == {i: best for i, text in docs if (best := passages_plainly(items, text))}
+    assert len(got) > 50
+
+
+def test_no_passage_escapes_the_masks():
+    """Of all patterns of equal and replaced words that no mask fits, the most equal words by length and last nine places."""
+    span = max(m[-1] for m in decontam.MASKS) + 1
+    fits = [sum(1 << (m[-1] - i) for i in m) for m in decontam.MASKS]  # the newest place is bit 0
+    most = {0: 0}  # last places, 0 before the start
+    for n in range(1, 200):
+        after = {}
+        for last, equal in most.items():
+            for bit in (0, 1):
+                here = (last << 1 | bit) & ((1 << span) - 1)
+                if not any(here & f == f for f in fits):
+                    after[here] = max(after.get(here, 0), equal + bit)
+        most = after
+        best = max(most.values())
+        assert best < 10 or 4 * best < 3 * n, n
+
+
+def test_runs_of_one_word(spark):
+    item = spark.createDataFrame([(1, "a " * 3000), (2, "b " * 40 + "c")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a " * 2500), (2, "x " + "b " * 60 + "c"), (3, "a " * 9)], "doc_id long, text string")
+    got = {r["doc_id"]: [(p["item_id"], p["equal_words"], p["first_word"]) for p in r["passages"]] for r in decontam.find_passages(docs, item).collect()}
+    assert got == {1: [(1, 2500, 0)], 2: [(2, 41, 21)]}
+
+
+def test_documents_without_passages(spark):
+    rows = [(1, "quick brown fox jumps over the lazy dog today and tomorrow too", "a"), (None, "quick brown fox jumps over the lazy dog today and tomorrow too", "b"), (None, None, "c"), (2, "clean", "d"), (2, "clean", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    items = spark.createDataFrame([(None, "the quick brown fox jumps over the lazy dog today and tomorrow")], "item_id long, text string")
+    left = decontam.without_passages(docs, items)
+    assert left.columns == docs.columns and sorted(r["key"] for r in left.collect()) == ["c", "d", "d"]
 
 
 def test_bucket_forms_agree(monkeypatch):
     import numpy as np
-    import pyarrow as pa
 
     rng = np.random.default_rng(5)
     rows = []
     for token, size in enumerate([1, 2, 3, 40, 5, 70, 2, 33]):
-        bucket = [(token, int(rng.integers(20, 60)), int(rng.integers(0, 9)), int(rng.integers(0, 10_000)), int(rng.integers(0, 3))) for _ in range(size)]
+        bucket = {
+            (token, int(rng.integers(20, 60)), int(rng.integers(0, 9)), int(rng.integers(0, 10_000)), int(rng.integers(0, 3)), int(rng.random() < 0.1))
+            for _ in range(size)
+        }
         rows += sorted(bucket, key=lambda r: (r[1], r[3]))
     want = set()
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
-            if a[0] == b[0] and a[4] != b[4] and 100 * min(a[1], b[1]) >= 75 * max(a[1], b[1]):
-                if min(a[1] - a[2], b[1] - b[2]) >= -(-75 * (a[1] + b[1]) // 175):
+            if a[0] == b[0] and (a[4] != b[4] or a[5] or b[5]) and 100 * min(a[1], b[1]) >= 75 * max(a[1], b[1]):
+                if a[3] != b[3] and min(a[1] - a[2], b[1] - b[2]) >= -(-75 * (a[1] + b[1]) // 175):
                     want.add((max(a[3], b[3]), min(a[3], b[3])))
     table = np.array(rows).T
-    for step in (1, 7, 1000):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in table], names=list("abcde")) for k in range(0, len(rows), step)]
-        parts = list(jaccard_join._whole_buckets(batches))
-        assert (np.concatenate(parts, axis=1) == table).all()
+    for step in (1, 7, 30, 1000):
         for small in (2, 32, 100):
             monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", small)
-            assert set().union(*(jaccard_join._crossing(p, 75) for p in parts)) == want
+            parts = [table[:, k : k + step] for k in range(0, len(rows), step)]
+            assert set().union(*jaccard_join.crossing(parts, 75)) == want
+
+
+def test_shared_buckets_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    class Rows:
+        def __init__(self, batches):
+            self.batches = batches
+
+        def mapInArrow(self, run, schema):
+            return [tuple(r.values()) for b in run(self.batches) for r in b.to_pylist()]
+
+    rng = random.Random(8)
+    rows = sorted((rng.randint(0, 60), rng.randint(20, 24), 0, rng.randint(0, 8)) for _ in range(150))
+    groups = collections.defaultdict(set)
+    for r in rows:
+        groups[r[0]].add(r)
+    want = [r for t in sorted(groups) if len(groups[t]) > 1 for r in sorted(groups[t])]
+    for step in (1, 2, 3, 10, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(rows[k : k + step]).T], names=list("abcd")) for k in range(0, len(rows), step)]
+        assert jaccard_join._shared(Rows(batches), 75) == want
