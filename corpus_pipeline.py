@@ -1,7 +1,9 @@
 """A training-data pipeline over ``documents``: language, near-duplicates, benchmark passages, tokens.
 
 Each stage takes the documents that its predecessor kept and, but for the last,
-returns the same columns.
+returns the same columns.  Rows are judged by their texts, so rows without a
+doc_id and repeated rows are treated like the others; an empty table passes
+through all stages.
 """
 
 from __future__ import annotations
@@ -9,10 +11,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pixloom.llm import bpe, decontam, jaccard_join, lang_id
-from pixloom.llm.common import ensure_checkpoint_dir
+from pixloom.llm.common import ensure_checkpoint_dir, remove
 from pixloom.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,16 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each component; documents without words have no duplicates."""
-    groups = jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one document of each component, that of the smallest doc_id; documents without words have no duplicates."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark passage."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.find_passages(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return decontam.without_passages(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages before it wrote is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
