@@ -139,13 +139,22 @@ phrases(p, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license']
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM words WHERE list_contains(w, 'license')),
 places AS (SELECT doc_id, k - 1 AS place, label FROM starts, phrases WHERE w[k:k + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM lowered),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS block FROM lines),
-templates AS (SELECT label, list_distinct(regexp_extract_all(translate(body, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens
-  FROM (VALUES {_TEMPLATES_SQL}) v(label, body)),
-met AS (SELECT doc_id, label, len(list_intersect(block, tokens)) / CAST(len(tokens) AS DOUBLE) AS share FROM blocks, templates
-  WHERE len(list_intersect(block, tokens)) >= ceil(0.8::DOUBLE * len(tokens) - 1e-9)),
-method AS (SELECT doc_id, count(*) AS n_matches, max(share) AS score, list(DISTINCT label) AS labels FROM met GROUP BY doc_id)
+templates AS (
+  SELECT label, list_distinct(ws) AS tokens, CAST(ceil(1.5::DOUBLE * len(ws)) AS BIGINT) AS size,
+         CAST(ceil(0.8::DOUBLE * len(list_distinct(ws)) - 1e-9) AS BIGINT) AS least
+  FROM (SELECT label, regexp_extract_all(translate(body, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+        FROM (VALUES {_TEMPLATES_SQL}) v(label, body))),
+numbered AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM words),
+own AS (SELECT label, size, least, len(tokens) AS m, unnest(tokens) AS word FROM templates),
+met AS (SELECT doc_id, label, size, least, m, k, word FROM numbered JOIN own USING (word)),
+able AS (SELECT doc_id, label FROM met GROUP BY doc_id, label HAVING count(DISTINCT word) >= any_value(least)),
+here AS (SELECT met.* FROM met JOIN able USING (doc_id, label)),
+blocks AS (
+  SELECT a.doc_id, a.label, a.k, a.size, count(DISTINCT b.word) / CAST(any_value(a.m) AS DOUBLE) AS share
+  FROM here a JOIN here b ON a.doc_id = b.doc_id AND a.label = b.label AND b.k >= a.k AND b.k < a.k + a.size
+  GROUP BY a.doc_id, a.label, a.k, a.size HAVING count(DISTINCT b.word) >= any_value(a.least)),
+apart AS (SELECT *, coalesce(k - lag(k) OVER (PARTITION BY doc_id, label ORDER BY k) >= size, true) AS first FROM blocks),
+method AS (SELECT doc_id, count(*) FILTER (WHERE first) AS n_matches, max(share) AS score, list(DISTINCT label) AS labels FROM apart GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
