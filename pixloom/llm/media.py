@@ -10,8 +10,9 @@ declared type; items found elsewhere are carved as embedded media.
 expressions and ``read_samples`` takes them back through the sniffer.
 
 Defined cases: null content has no items and type null; empty or unknown bytes
-have type null; overlapping claims all count, an item inside another has a
-larger ``depth``; rows are mapped one by one, so an empty table gives an empty
+have type null; where nothing is declared, declared_ok is null; overlapping
+claims all count, an item inside another has a larger ``depth``; of two formats
+that claim the same bytes the one first in the alphabet gives the type; rows are mapped one by one, so an empty table gives an empty
 table and repeated rows repeated results.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pixloom.llm.common import bounded_batches, small_batches, utf8
+from pixloom.llm.common import bounded_batches, lean, small_batches, utf8
 
 FRAME = 192  # payloads are padded to a multiple of this
 RATE = 8000
@@ -88,14 +89,18 @@ def gif_end(data: bytes, at: int) -> int | None:
 def jpeg_end(data: bytes, at: int) -> int | None:
     at += 2
     frame = False
-    while at + 4 <= len(data) and data[at] == 0xFF:
+    while at + 4 <= len(data) + 2 and data[at] == 0xFF:
+        while at + 2 < len(data) and data[at + 1] == 0xFF:  # bytes that may fill up to a marker
+            at += 1
         marker = data[at + 1]
         if marker == 0xD9:
             return at + 2 if frame else None
+        if at + 4 > len(data):
+            return None
         size = struct.unpack_from(">H", data, at + 2)[0]
         if size < 2 or at + 2 + size > len(data):
             return None
-        frame |= marker in (0xC0, 0xC1, 0xC2)
+        frame |= 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)  # tables and the like are no frames
         at += 2 + size
         if marker == 0xDA:  # entropy-coded data goes on to the next marker that is neither stuffed nor a restart
             while (at := data.find(b"\xff", at)) >= 0:
@@ -103,6 +108,9 @@ def jpeg_end(data: bytes, at: int) -> int | None:
                     return None
                 if data[at + 1] == 0xD9:
                     return at + 2 if frame else None
+                if data[at + 1] == 0xFF:
+                    at += 1
+                    continue
                 if data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7:
                     break
                 at += 2
@@ -204,11 +212,11 @@ def sniff_column(df: DataFrame, content_col: str = "content", declared_col: str
         for batch in small_batches(batches):
             items = [sniff(x) if x else [] for x in batch.column(at).to_pylist()]
             kinds = [next((i[0] for i in found if i[1] == 0), None) for found in items]
-            claims = batch.column(declared).to_pylist() if declared is not None else kinds
+            claims = batch.column(declared).to_pylist() if declared is not None else [None] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns, pa.array(kinds, pa.string()),
-                    pa.array([k == c for k, c in zip(kinds, claims)], pa.bool_()),
+                    pa.array([None if c is None else k == c for k, c in zip(kinds, claims)], pa.bool_()),
                     pa.array([[dict(zip(("format", "start", "length", "depth"), i)) for i in f] for f in items], pa.list_(ITEM)),
                 ],
                 names=[*kept, "media_type", "declared_ok", "media"],
@@ -217,7 +225,7 @@ def sniff_column(df: DataFrame, content_col: str = "content", declared_col: str
     schema = df.select(*[f"`{c}`" for c in kept]).schema
     for field in StructType.fromDDL("media_type string, declared_ok boolean, media array<struct<format: string, start: long, length: long, depth: int>>"):
         schema = schema.add(field)
-    return bounded_batches(df).select(*[f"`{c}`" for c in kept]).mapInArrow(look, schema)
+    return bounded_batches(df).select(*[f"`{c}`" for c in kept]).mapInArrow(lean(look), schema)
 
 
 def carve(df: DataFrame, content_col: str = "content") -> DataFrame:
@@ -289,7 +297,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ("media_type", pa.string()), ("declared_ok", pa.bool_()),
     ])
     return sniff_column(stored, "content", "declared").mapInArrow(
-        digest,
+        lean(digest),
         f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string, media_type string, declared_ok boolean",
     )
