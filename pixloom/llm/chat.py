@@ -272,7 +272,11 @@ Piece = tuple[str, bool]  # text, is it inside a generation block
 
 
 def _shown(value: Any) -> str:
-    return "" if value is None else str(value)
+    if value is None:
+        return ""
+    if isinstance(value, (str, int)):
+        return str(value)
+    raise TemplateError(f"a {type(value).__name__} cannot be printed")
 
 
 def closure(e: tuple) -> Callable[[dict], Any]:
