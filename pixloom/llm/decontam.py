@@ -47,7 +47,7 @@ WHOLE = 10  # items of fewer words are sought as a whole
 FILTER_BITS = 28  # of the filter, as a power of two, at most: 32 MB
 CHUNK = 1 << 14  # bytes in one row of the filter
 GROUP_BYTES = 1 << 20  # text that is hashed at a time
-BROADCAST_TEXTS = 100_000  # texts with hits; beyond that the join shuffles
+BROADCAST_TEXTS = 500_000  # keys of 8 bytes; beyond that the join shuffles
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
@@ -273,5 +273,6 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      item_col: str = "item_id", item_text_col: str = "text", min_overlap: int = 10, min_share: float = 0.75) -> DataFrame:
     """The documents that hold no passage, decided by text: rows without an id too."""
-    found = found_in(docs, benchmark, id_col, text_col, item_col, item_text_col, min_overlap, min_share).select("key").distinct()
+    found = written(found_in(docs, benchmark, id_col, text_col, item_col, item_text_col, min_overlap, min_share).select("key").distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
     return docs.join(found, F.xxhash64(utf8(text_col)) == found["key"], "left_anti")

@@ -66,6 +66,7 @@ SAMPLED = 16  # shingles of a prefix that round one looks at, about
 SMALL_BUCKET = 32  # rows up to which buckets are compared many at a time
 BATCH_BYTES = 1 << 20  # text that is hashed at a time
 BLOCK_BYTES = 8 << 20  # sets that are verified at a time
+BLOCK_PAIRS = 400  # pairs around one hub that are verified at a time
 BROADCAST_IDS = 500_000  # ids of 16 bytes: 8 MB at most; beyond that the join shuffles
 KEPT_GROUPS = 1 << 20  # groups that a task remembers to have dealt out
 
@@ -469,12 +470,12 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     spark = docs.sparkSession
     pairs = written(pairs.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny")))
     size = F.lit(8) * F.col("ny")
-    first = pairs.groupBy("x").agg(F.min("y").alias("hub"), (F.sum(size) + 8 * F.max("nx")).alias("bytes"))
+    first = pairs.groupBy("x").agg(F.min("y").alias("hub"), F.count("*").alias("n"), (F.sum(size) + 8 * F.max("nx")).alias("bytes"))
     total = first.agg(F.sum("bytes")).first()[0]
     if not total:
         return spark.createDataFrame([], "a long, b long")
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BLOCK_BYTES))
-    salts = first.groupBy("hub").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("salts"))
+    salts = first.groupBy("hub").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.sum("n") / BLOCK_PAIRS)).alias("salts"))
     placed = first.join(salts, "hub").select("x", "hub", "salts", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
     block = F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("x"), F.col("salts")), F.pmod(F.xxhash64("y"), F.col("parts"))), F.lit(n_blocks))
     dealt = written(pairs.join(placed, "x").select(block.alias("block"), "x", "y"))
