@@ -72,36 +72,55 @@ def test_rules_are_filed_under_the_rarest_literal():
 # --- 2: license scans --------------------------------------------------------------
 
 
-def test_license_scan_equals_all_pairs(spark):
+@pytest.mark.parametrize("most", [10**6, 20])
+def test_license_scan_equals_all_blocks(spark, most):
     rng = random.Random(2)
     notices = [t for _, t in license_scan.TEMPLATES]
     texts = [None, "", "MIT license", "the MIT-License and mit license, General Public License", "Mit\nlicense"]
-    for _ in range(150):
-        lines = []
+    for n in range(150):
+        parts = []
         for _ in range(rng.randint(1, 4)):
             words = rng.choice(notices).split()
-            kept = [w for w in words if rng.random() < 0.85] + prose(rng, rng.randint(0, 6)).split()
-            rng.shuffle(kept)
-            lines.append(" ".join(kept))
-        texts.append("\n".join(lines))
-    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+            kept = [w for w in words if rng.random() < 0.9]
+            for _ in range(rng.randint(0, 4)):
+                kept.insert(rng.randrange(len(kept) + 1), prose(rng, 1))
+            if n % 3 == 0:
+                rng.shuffle(kept)
+            parts.append(" ".join(kept) + "\n" + prose(rng, rng.randint(0, 30)))
+        wrapped = re.sub(r"(.{20,40}?) ", r"\1\n", " ".join(parts))  # notices go over line ends
+        texts.append(wrapped)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(rows, most=most).collect()}
+    labels = set()
     for i, text in enumerate(texts):
         lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
         places = [(k, label) for p, label in license_scan.BASE_PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
         found = []
-        for n, line in enumerate(lowered.split("\n")):
-            block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-            for label, t in license_scan.TEMPLATES:
-                want = {w.decode() for w in license_scan.words(t.encode())}
-                if len(want & block) >= 0.8 * len(want) - 1e-9:
-                    found.append((n, label, len(want & block) / len(want)))
+        for label, t in license_scan.TEMPLATES:
+            own = [w.decode() for w in license_scan.words(t.encode())]
+            size, want = math.ceil(1.5 * len(own)), set(own)
+            held = [(k, len(want.intersection(words[k : k + size]))) for k in range(len(words))]
+            held = [(k, n) for k, n in held if n >= 0.8 * len(want) - 1e-9]
+            runs = []
+            for k, n in held:
+                if words[k] in want:
+                    if runs and k - runs[-1][-1][0] < size:
+                        runs[-1].append((k, n))
+                    else:
+                        runs.append([(k, n)])
+            best = [max(run, key=lambda x: (x[1], -x[0])) for run in runs]
+            assert max((n for _, n in held), default=0) == max((n for _, n in best), default=0)
+            found += [(k, label, n / len(want)) for k, n in best]
         r = got[i]
         assert (r["n_words"], r["n_base"]) == (len(words), len(places))
         assert r["first_word"] == min((k for k, _ in places), default=None) and r["last_word"] == max((k for k, _ in places), default=None)
-        assert sorted((m["line"], m["label"], m["containment"]) for m in r["matches"]) == sorted(found)
+        assert sorted((m["first_word"], m["label"], m["containment"]) for m in r["matches"]) == sorted(found)
         base = {label for _, label in places}
         assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | {f[1] for f in found}))
+        assert r["score"] == max((f[2] for f in found), default=0.0)
+        labels |= {f[1] for f in found}
+    assert labels == {label for label, _ in license_scan.TEMPLATES}
 
 
 # --- 3: media ----------------------------------------------------------------------
@@ -147,6 +166,34 @@ def test_media_types_are_corrected_and_carved(spark):
     assert carved == {"bmp": bmp, "jpeg": jpeg}
 
 
+def test_items_equal_a_naive_search():
+    import gzip
+    import struct
+
+    import numpy as np
+
+    rng = random.Random(9)
+    bmp = b"BM" + struct.pack("<IIIIIIHH", 58, 0, 54, 40, 1, 1, 1, 24) + bytes(28)
+    jpeg = b"\xff\xd8\xff\xfe\x00\x04ab\xff\xff\xff\xc3\x00\x04ab\xff\xda\x00\x04ab\x01\xff\x00\x02\xff\xd0\x03\xff\xff\xd9"
+    items = [png.write(np.zeros((2, 2, 3), np.uint8)), gzip.compress(b"BM RIFF"), bmp, jpeg]
+    items.append(b"RIFF" + struct.pack("<I", 4 + 8 + len(jpeg)) + b"WAVE" + b"data" + struct.pack("<I", len(jpeg)) + jpeg)
+    assert all(media.sniff(x)[0][1:3] == (0, len(x)) for x in items)
+    magics = [m for _, m, _ in media.FORMATS]
+    for _ in range(200):
+        data = b"".join(rng.choice([*items, *magics, rng.randbytes(rng.randint(0, 9)), items[0][:-1]]) for _ in range(rng.randint(0, 6)))
+        want = {(name, at, stop - at) for at in range(len(data)) for name, magic, end in media.FORMATS
+                if data[at : at + len(magic)] == magic and (stop := end(data, at)) is not None}
+        got = media.sniff(data)
+        assert {g[:3] for g in got} == want
+        assert all(depth == sum(a <= at and at + n <= a + m for _, a, m in want) - 1 for _, at, n, depth in got)
+
+
+def test_what_is_not_declared_is_not_judged(spark):
+    df = spark.createDataFrame([(b"GIF", None), (b"x", "gif"), (None, None)], "content binary, media string")
+    assert [r["declared_ok"] for r in media.sniff_column(df).collect()] == [None] * 3
+    assert sorted(str(r["declared_ok"]) for r in media.sniff_column(df.withColumnRenamed("media", "said"), "content", "said").collect()) == ["False", "None", "None"]
+
+
 # --- 4: chat -----------------------------------------------------------------------
 
 chat_texts = st.lists(st.sampled_from([*"ab\\\n[]<>|/ISNT", *chat.CONTROLS]), max_size=12).map("".join) | st.text(max_size=12)
@@ -191,6 +238,12 @@ def test_conversation_digests(spark):
     assert len(full[1]["formatted"]) == got[1]["formatted_chars"] and len(full[1]["spans"]) == 2
 
 
+@pytest.mark.parametrize("source", ["{{ turns }}", "{% for t in turns %}{{ t }}{% endfor %}"])
+def test_only_scalars_are_printed(source):
+    with pytest.raises(chat.TemplateError):
+        chat.render(source, [{"role": "user", "text": "x"}])
+
+
 # --- 5: BPE ------------------------------------------------------------------------
 
 
