@@ -7,7 +7,8 @@ the element holds.  An element of which a whole value is made of such words is
 left out, unless it holds most of the page's text while article and main elements
 outside have less than a tenth of that.  If only a part of a value is such a word
 ("related-work", "no-sidebar"), it is left out only where it is mostly links.
-Headings and paragraphs are never left out for such words.  Every other node gets
+Headings and paragraphs are never left out for such words, and a header inside
+an article or main element is its own head, not the page's.  Every other node gets
 a link-adjusted density:
 characters per tag, damped by the share of its characters and tags that are
 links, against the share on the whole body.  The density sum of a node adds up
@@ -22,8 +23,9 @@ inside a block becomes one space, blocks are trimmed and joined by one line end.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags
 are repaired; text outside any tag counts as body text; an empty table gives an
-empty table and repeated rows repeated results.  Pages are mapped over, nothing
-is shuffled.
+empty table and repeated rows repeated results; of equal sums the outermost, first
+node is the article; columns beside id, url and html are not read.  Pages are
+mapped over, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -37,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixloom.llm.common import bounded_batches, small_batches
+from pixloom.llm.common import bounded_batches, lean, small_batches
 
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section "
@@ -115,21 +117,37 @@ def parse(page: str) -> Node:
     """The tree of a page without its certain boilerplate; raw elements and their contents are left out too."""
     root = Node("body", None)
     stack, dropped, at = [root], 0, 0  # dropped: the depth below which nothing is kept
+    # Depths of the open elements by name, of those that are blocks and of those that are scopes: no tag looks through the stack.
+    open_at: dict[str, list[int]] = {}
+    blocks, scopes = [0], [0]
+
+    def push(node: Node) -> None:
+        open_at.setdefault(node.name, []).append(len(stack))
+        if node.name in BLOCK:
+            blocks.append(len(stack))
+        if node.name in SCOPES:
+            scopes.append(len(stack))
+        stack.append(node)
 
     def pop() -> None:
         nonlocal dropped
-        stack.pop()
+        name = stack.pop().name
+        open_at[name].pop()
+        if name in BLOCK:
+            blocks.pop()
+        if name in SCOPES:
+            scopes.pop()
         if dropped > len(stack):
             dropped = 0
 
+    def deepest(names: Iterable[str]) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+
     def end_open(names: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                while len(stack) > i:
-                    pop()
-                if stack[-1].name not in names:
-                    return
-            elif stack[i].name in SCOPES:
+        while (depth := deepest(names)) and depth >= scopes[-1]:
+            while len(stack) > depth:
+                pop()
+            if stack[-1].name not in names:
                 return
 
     while True:
@@ -144,13 +162,10 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m["close"] or m["close2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if name not in BLOCK and stack[i].name in BLOCK:
-                    break  # an inline end tag does not close blocks
+            depth = deepest((name,))
+            if depth and (name in BLOCK or depth > blocks[-1]):  # an inline end tag does not close blocks
+                while len(stack) > depth:
+                    pop()
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in RAW:
@@ -165,11 +180,13 @@ def parse(page: str) -> Node:
             end_open(ENDS.get(name, ()))
         node = Node(name, stack[-1])
         certain, node.mark = (False, 0) if dropped else _judged(name, attrs)
+        if name == "header" and certain and deepest(("article", "main")) and not attrs.strip():
+            certain = False  # an article's own head
         if not dropped:
             stack[-1].parts.append(node)
         if name in VOID:
             continue
-        stack.append(node)
+        push(node)
         if certain:
             stack[-2].parts[-1] = " " if name not in BLOCK else Node("hr", stack[-2])
             dropped = len(stack)
@@ -218,27 +235,21 @@ def prune(root: Node) -> None:
     for node in reversed(nodes):
         below = sum(scoped[id(p)] for p in node.parts if p.__class__ is Node)
         scoped[id(node)] = node.chars if node.name in ("article", "main") else below
-    kept = [root]
-    for node in kept:
+    kept = [(root, False)]  # and whether it is in or is an article or main element
+    for node, inside in kept:
         for k, p in enumerate(node.parts):
             if p.__class__ is not Node:
                 continue
             if p.mark == 2:
                 # Long comments may outweigh an article, but not an article's own body.
-                outside = 0 if _in_scope(node) else scoped[id(root)] - scoped[id(p)]
+                outside = 0 if inside else scoped[id(root)] - scoped[id(p)]
                 drop = 2 * p.chars <= root.chars or 10 * outside >= p.chars
             else:
                 drop = p.mark == 1 and 2 * p.link_chars > p.chars
             if drop:
                 node.parts[k] = Node("hr", node) if p.name in BLOCK else " "
             else:
-                kept.append(p)
-
-
-def _in_scope(node: Node | None) -> bool:
-    while node is not None and node.name not in ("article", "main"):
-        node = node.parent
-    return node is not None
+                kept.append((p, inside or p.name in ("article", "main")))
 
 
 def select(root: Node) -> dict[int, bool]:
@@ -309,5 +320,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             )
 
     return bounded_batches(pages).select(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col)).mapInArrow(
-        run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long"
+        lean(run), f"`{id_col}` long, `{url_col}` string, text string, n_chars long"
     )
