@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixloom.llm.common import bounded_batches, small_batches
+from pixloom.llm.common import bounded_batches, lean, small_batches
 
 #: Control strings of common chat formats.
 CONTROLS = (
@@ -441,7 +441,7 @@ def format_conversations(conversations: DataFrame, template: str = DEFAULT_TEMPL
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     out = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(span))])
     return ordered_turns(conversations).mapInArrow(
-        run, "conv_id long, formatted string, spans array<struct<start: long, stop: long>>"
+        lean(run), "conv_id long, formatted string, spans array<struct<start: long, stop: long>>"
     )
 
 
@@ -469,5 +469,5 @@ def conversation_digests(conversations: DataFrame, template: str = DEFAULT_TEMPL
         ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
     ])
     return ordered_turns(conversations).mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+        lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixloom.llm.common import bounded_batches, lean, pieces, unpacked_piece, utf8
+from pixloom.llm.common import bounded_batches, lean, pieces, release_memory, unpacked_piece, utf8
 
 START = b" "  # the place before a text; no word has white space
 END = b""  # no word is empty
@@ -248,14 +248,16 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
         F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), utf8(text_col).alias("text")
     )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # Blocks are dealt by a hash of the document, so that their number follows the bytes and no source is hot.
+    # Blocks are dealt by a hash of id and text, so that their number follows the bytes and neither a source nor rows without
+    # an id are hot.
     n = max(1, math.ceil(size / block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     blocks = dealt.mapInArrow(lean(pieces), "block long, piece binary").groupBy("block")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table, n)
         words, pairs = block.training()
+        release_memory()
         return pa.table({
             "bucket": pa.array(range(n), pa.int64()), "block": pa.array([key[0].as_py()] * n, pa.int64()),
             "words": [packed_keys(x) for x in block.words.slices()], "word_n": [packed(x) for x in block.words.slices(words)],
@@ -290,6 +292,7 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
         block = Block(table, n)
         counts = Counts(block, counted.to_pylist(), min_share)
         own = counts.mine & counts.kept
+        release_memory()
         pairs = np.bincount(block.first[own], minlength=block.k)
         mass = np.bincount(block.first[own], counts.pairs[own], minlength=block.k).astype(np.int64)
         return pa.table({
@@ -336,6 +339,7 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
         ends = np.cumsum(block.sizes - 1)
         starts = ends - (block.sizes - 1)
         spans = list(zip(starts.tolist(), ends.tolist()))
+        release_memory()
         return pa.table({
             "doc_id": block.rows["doc_id"], "held_out": block.rows["held_out"], "n_tokens": pa.array(block.sizes - 1, pa.int64()),
             "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)),
