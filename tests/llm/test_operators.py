@@ -575,6 +575,63 @@ def test_marked_boilerplate_is_left_out(mark):
     assert html_extract.main_text(page) == "\n".join([PROSE.strip()] * 2)
 
 
+def test_an_article_keeps_its_head_and_formulas():
+    page = f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{PROSE}</p><p>Let <math><mi>x</mi></math> be.</p></article></body>"
+    assert html_extract.main_text(page) == f"Title\n{PROSE.strip()}\nLet x be."
+
+
+def sums_plainly(node):
+    """Of every subtree: its node and the sum of the densities below it, each computed from its own text and tags."""
+    def nodes(n):
+        return [n, *(x for p in n.parts if not isinstance(p, str) for x in nodes(p))]
+
+    def text(n):
+        return "".join("".join(p.split()) if isinstance(p, str) else text(p) for p in n.parts)
+
+    def links(n):
+        return text(n) if n.name == "a" else "".join(links(p) for p in n.parts if not isinstance(p, str))
+
+    def density(n):
+        chars, tags = len(text(n)), max(1, len(nodes(n)) - 1)
+        linked, anchors = len(links(n)), max(1, sum(x.name == "a" for x in nodes(n)[1:]))
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(1, chars - linked) * linked + whole * chars + math.e)
+        return chars / tags * math.log(chars / max(1, linked) * tags / anchors + 1) / math.log(base + 1)
+
+    whole = len(links(node)) / max(1, len(text(node)))
+    return [(n, sum(density(p) for p in n.parts if not isinstance(p, str))) for n in nodes(node)]
+
+
+def test_the_densest_subtree_is_that_of_all_subtrees():
+    rng = random.Random(31)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.2:
+            words = prose(rng, rng.randint(1, 12))
+            return f"<a href=x>{words}</a>" if rng.random() < 0.2 else words
+        name = rng.choice(["div", "div", "p", "span", "section"])
+        return f"<{name}>" + " ".join(made(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{name}>"
+
+    for _ in range(60):
+        root = html_extract.parse(made(5))
+        want = sums_plainly(root)
+        got = {id(n): n.total for n in html_extract.measure(root)}
+        assert len(got) == len(want) and all(abs(got[id(n)] - total) < 1e-6 * max(1, total) for n, total in want)
+        best = max(want, key=lambda x: x[1])[0]
+        chosen = html_extract.select(root)
+        assert all(chosen.get(id(x), True) for x in html_extract.nodes_of(best))
+
+
+@pytest.mark.parametrize("page", ["</div></b></p>" * 40_000, "<div>" * 20_000 + "</b>" * 20_000, "<h1>" * 20_000 + "x", "<b>" * 20_000 + "<p>y" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000])
+def test_odd_tags_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 # --- 10: decontamination ------------------------------------------------------------------
 
 
