@@ -49,12 +49,30 @@ def auto_kernel(ncolors: int) -> str:
     return "floyd-steinberg" if ncolors > 16 else "atkinson"
 
 
-def diffuse(pixels: np.ndarray, palettes: np.ndarray, sizes: np.ndarray, width: int, height: int, kernel: str, cached: bool = False) -> np.ndarray:
+MASKS = ("additive", "xor")
+
+
+def mask(kind: str, width: int, height: int) -> np.ndarray:
+    """rows x columns x 3 of an ordered mask, in -1..1."""
+    y, x, c = np.ogrid[:height, :width, :3]
+    if kind == "additive":
+        return ((x + c * 67 + y * 236) * 119 & 255) / 128.0 - 1.0
+    return (((x + c * 29) ^ y * 149) * 1234 & 511) / 256.0 - 1.0
+
+
+def diffuse(pixels: np.ndarray, palettes: np.ndarray, sizes: np.ndarray, width: int, height: int, kernel: str, cached: bool = False,
+            red_weight: int = 1) -> np.ndarray:
     """Indices (pictures x pixels) for rasters (pictures x pixels x 3) and palettes (pictures x colours x 3).
 
-    ``cached`` lets each 15-bit bucket keep the answer of its first pixel.
+    ``kernel`` may be an ordered mask too, which is added to the pixels before
+    their colours are looked up.  ``cached`` lets each 15-bit bucket keep the
+    answer of its first pixel; ``red_weight`` multiplies the red distance.
     """
     data = pixels.astype(np.int64)
+    if kernel in MASKS:
+        data = np.clip((data + mask(kernel, width, height).reshape(1, -1, 3) * 32.0).astype(np.int64), 0, 255)
+        kernel = "none"
+    weights = np.array([red_weight, 1, 1])
     palettes = palettes.astype(np.int64)
     n, colours = len(data), palettes.shape[1]
     beyond = np.arange(colours)[None, :] >= sizes[:, None]
@@ -66,7 +84,7 @@ def diffuse(pixels: np.ndarray, palettes: np.ndarray, sizes: np.ndarray, width:
     cache = np.full((n, 1 << 15), -1, np.int16) if cached else None
     for pos in range(width * height):
         here = data[:, pos]
-        away = ((here[:, None, :] - palettes) ** 2).sum(axis=2)
+        away = ((here[:, None, :] - palettes) ** 2 * weights).sum(axis=2)
         away[beyond] = 1 << 40
         best = away.argmin(axis=1)
         bright = here.sum(axis=1) >= 256
@@ -94,7 +112,7 @@ def diffuse_frames(frames: DataFrame, kernel: str = "auto", cached: bool = True,
     "auto" takes Floyd-Steinberg above 16 colours, else Atkinson; pictures whose
     colours all fit their palette are not diffused.
     """
-    if kernel != "auto" and kernel not in KERNELS:
+    if kernel != "auto" and kernel not in KERNELS and kernel not in MASKS:
         raise ValueError(f"unknown kernel {kernel!r}")
     names = ["image_id", "width", "height", "indices", "palette", "ncolors"]
 

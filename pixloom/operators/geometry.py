@@ -8,6 +8,8 @@ kernels are separable, which makes the two passes equal to the product form.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,9 +41,12 @@ def target_size(width: int, height: int, to_width: int | str | None = None, to_h
     """Pixels, ``"150%"`` or None; a missing side keeps the aspect ratio, rounded up."""
 
     def asked(value: int | str | None, source: int) -> int | None:
-        if isinstance(value, str) and value.endswith("%"):
-            return min(LIMIT, max(1, source * int(value[:-1]) // 100))
-        return None if value in (None, "auto") else int(value)
+        if value in (None, "auto"):
+            return None
+        m = re.fullmatch(r"([0-9]+)(%|px|)", str(value))
+        if not m:
+            raise ValueError(f"{value!r} is no size")
+        return min(LIMIT, max(1, source * int(m[1]) // 100 if m[2] == "%" else int(m[1])))
 
     w, h = asked(to_width, width), asked(to_height, height)
     if w and not h:

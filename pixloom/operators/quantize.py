@@ -15,6 +15,18 @@ TERMINAL_16 = (
     (26, 26, 26), (33, 33, 60), (60, 26, 26), (33, 60, 33), (60, 33, 60), (33, 60, 60), (60, 60, 33), (80, 80, 80),
 )
 
+#: Grays of a monochrome terminal, in per cent, in the order of its registers 1 to 15 and 0.
+TERMINAL_GRAYS = (13, 26, 40, 6, 20, 33, 46, 0, 13, 26, 40, 6, 20, 33, 46, 0)
+
+#: 16 basic colours.
+BASIC_16 = (
+    (0, 0, 0), (128, 0, 0), (0, 128, 0), (128, 128, 0), (0, 0, 128), (128, 0, 128), (0, 128, 128), (192, 192, 192),
+    (128, 128, 128), (255, 0, 0), (0, 255, 0), (255, 255, 0), (0, 0, 255), (255, 0, 255), (0, 255, 255), (255, 255, 255),
+)
+
+#: Steps of the colour cube that follows them.
+CUBE_STEPS = (0, 95, 135, 175, 215, 255)
+
 Palette = list[tuple[int, int, int]]
 
 
@@ -35,9 +47,33 @@ def terminal_palette() -> Palette:
     return [*named, *[(r, g, b) for r in steps for g in steps for b in steps], *[(i * 11,) * 3 for i in range(24)]]
 
 
-def expand(indexed: DataFrame, palette: DataFrame) -> DataFrame:
-    """idx to r, g, b by a join on picture and index; palettes are small and meet pixels by key."""
-    return indexed.join(palette.select("image_id", "idx", *RGB), ["image_id", "idx"])
+def cube_palette() -> Palette:
+    """16 basic colours, a 6 x 6 x 6 cube and 24 grays from 8 in steps of 10."""
+    cube = [(r, g, b) for r in CUBE_STEPS for g in CUBE_STEPS for b in CUBE_STEPS]
+    return [*BASIC_16, *cube, *[(8 + 10 * i,) * 3 for i in range(24)]]
+
+
+def builtin_palette(name: str) -> Palette:
+    """One of the ten palettes by name."""
+    made = {
+        "mono": mono_palette, "monolight": lambda: mono_palette(True), "xterm16": lambda: list(BASIC_16), "xterm256": cube_palette,
+        "vt340mono": lambda: [(p * 255 // 100,) * 3 for p in TERMINAL_GRAYS],
+        "vt340color": lambda: [tuple(p * 255 // 100 for p in c) for c in (*TERMINAL_16[1:], TERMINAL_16[0])],
+    } | {f"gray{bits}": lambda bits=bits: gray_palette(bits) for bits in (1, 2, 4, 8)}
+    if name not in made:
+        raise ValueError(f"unknown palette {name!r}")
+    return made[name]()
+
+
+BUILTIN = ("mono", "monolight", "xterm16", "xterm256", "vt340mono", "vt340color", "gray1", "gray2", "gray4", "gray8")
+
+
+def expand(indexed: DataFrame, palettes: DataFrame) -> DataFrame:
+    """idx to r, g, b; a picture's palette is one array (image_id, palette), so its pixels meet one row and are not spread by colour."""
+    met = indexed.join(palettes.select("image_id", "palette"), "image_id")
+    return met.withColumn("__c", F.get("palette", F.col("idx").cast("int"))).select(
+        *[c for c in indexed.columns if c not in RGB], *[F.col(f"__c.{c}").alias(c) for c in RGB]
+    )
 
 
 def mono_index(sample_sum: Column, light: bool = False) -> Column:
@@ -86,11 +122,13 @@ def quantize(pixels: DataFrame, palette: Palette, mask: str | None = None, red_w
     return pixels.select("image_id", "y", "x", idx.alias("idx"))
 
 
-def compact(indexed: DataFrame, width: int) -> DataFrame:
-    """Renumber the used colours of each picture in the order of their first use; adds ``new_idx``.
-
-    Only (picture, colour) rows are numbered; they are joined back to the pixels.
-    """
+def renumbered(indexed: DataFrame, width: int) -> DataFrame:
+    """image_id, idx and new_idx of the used colours of each picture, in the order of their first use."""
     used = indexed.groupBy("image_id", "idx").agg(F.min(F.col("y") * width + F.col("x")).alias("first"))
-    new = used.withColumn("new_idx", F.row_number().over(Window.partitionBy("image_id").orderBy("first")).cast("long") - 1)
-    return indexed.join(new.drop("first"), ["image_id", "idx"])
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("first")).cast("long") - 1
+    return used.select("image_id", "idx", place.alias("new_idx"))
+
+
+def compact(indexed: DataFrame, width: int) -> DataFrame:
+    """The pixels with ``new_idx``, see ``renumbered``; only (picture, colour) rows are numbered and joined back."""
+    return indexed.join(renumbered(indexed, width), ["image_id", "idx"])

@@ -12,28 +12,31 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from pixloom.operators import bandcodec, diffuse, palette
+from pixloom.operators import bandcodec, diffuse, highcolor, palette
 from pixloom.operators.bandcodec import Style
 from pixloom.operators.geometry import Crop, target_size
 from pixloom.operators.histogram import COUNT_CAP, SAMPLE_CAPS
-from pixloom.operators.quantize import gray_palette, mono_palette, terminal_palette
+from pixloom.operators.quantize import BUILTIN, builtin_palette, mono_palette
 from pixloom.plans.kernels_array import resize_array
 
-BUILTIN = ("xterm256", "vt340mono", "gray1", "gray2", "gray4", "gray8")
-
 
 @dataclass(frozen=True)
 class Encoder:
-    """Options of the encoding; at most one of monochrome, mapfile and builtin."""
+    """Options of the encoding; at most one of high_colour, monochrome, mapfile and builtin.
+
+    ``mapfile`` is a palette, see ``palette_from_file``.
+    """
 
     colours: int = 256
+    high_colour: bool = False  # 15-bit colours, as many as there are
     monochrome: bool = False
     invert: bool = False
     mapfile: tuple[tuple[int, int, int], ...] | None = None
     builtin: str | None = None
-    diffusion: str = "auto"
+    diffusion: str = "auto"  # a kernel, or an ordered mask
+    red_weight: int = 1  # complexion
     largest: str = "auto"  # norm
     representative: str = "auto"  # center
     quality: str = "auto"  # high up to 8 colours, else low
@@ -43,15 +46,23 @@ class Encoder:
     crop: Crop | None = None
     crop_first: bool = True
     static: bool = False
+    background: tuple[int, int, int] | None = None  # under transparent pixels of files
+    loop: str = "auto"  # see read_frames
+    loops: int = 1
     macro: int | None = None  # number of a terminal macro to define
+    penetrate: bool = False  # wrapped for a terminal multiplexer
     style: Style = field(default_factory=Style)
 
     def __post_init__(self) -> None:
-        if sum((self.monochrome, self.mapfile is not None, self.builtin is not None)) > 1:
-            raise ValueError("monochrome, mapfile and builtin palettes exclude each other")
+        if sum((self.high_colour, self.monochrome, self.mapfile is not None, self.builtin is not None)) > 1:
+            raise ValueError("high colour, monochrome, mapfile and builtin palettes exclude each other")
+        if self.penetrate and self.style.eight_bit:
+            raise ValueError("a multiplexer passes on streams of seven bits only")
+        if self.red_weight < 1:
+            raise ValueError("the weight of red is 1 at least")
         if not 2 <= self.colours <= 256:
             raise ValueError("a palette has 2 to 256 colours")
-        if self.diffusion != "auto" and self.diffusion not in diffuse.KERNELS:
+        if self.diffusion != "auto" and self.diffusion not in diffuse.KERNELS and self.diffusion not in diffuse.MASKS:
             raise ValueError(f"unknown diffusion {self.diffusion!r}")
         if self.builtin is not None and self.builtin not in BUILTIN:
             raise ValueError(f"unknown palette {self.builtin!r}")
@@ -84,8 +95,7 @@ class Encoder:
         if self.mapfile is not None:
             return np.array(self.mapfile), len(found)
         if self.builtin:
-            made = {"xterm256": terminal_palette(), "vt340mono": gray_palette(2)} | {f"gray{b}": gray_palette(b) for b in (1, 2, 4, 8)}
-            return np.array(made[self.builtin]), len(found)
+            return np.array(builtin_palette(self.builtin)), len(found)
         colours = np.stack([(found[order] >> s & 31) << 3 for s in (10, 5, 0)], axis=1)
         largest = "norm" if self.largest == "auto" else self.largest
         rep = "center" if self.representative == "auto" else self.representative
@@ -94,13 +104,43 @@ class Encoder:
     def encode(self, raster: np.ndarray) -> bytes:
         raster = self.geometry(raster)
         height, width, _ = raster.shape
+        if self.high_colour:
+            kernel = "floyd-steinberg" if self.diffusion == "auto" else self.diffusion
+            return self.enveloped(highcolor.encode_high(raster, kernel, self.style))
         colours, before = self.choose_palette(raster)
         kernel = diffuse.auto_kernel(len(colours)) if self.diffusion == "auto" else self.diffusion
-        if before <= len(colours) and not self.monochrome and not self.builtin and self.mapfile is None:
+        own = not self.monochrome and not self.builtin and self.mapfile is None
+        if before <= len(colours) and own:
             kernel = "none"
-        indices = diffuse.diffuse(raster.reshape(1, -1, 3), colours[None], np.array([len(colours)]), width, height, kernel, cached=self.quality != "full")
-        data = bandcodec.encode(indices.reshape(height, width), colours, self.style)
-        return data if self.macro is None else b"\x1bP%d;0;1!z" % self.macro + data.hex().encode() + b"\x1b\\"
+        indices = diffuse.diffuse(
+            raster.reshape(1, -1, 3), colours[None], np.array([len(colours)]), width, height, kernel, self.quality != "full", self.red_weight
+        )[0]
+        if own:  # colours in the order of their first use, others left out
+            used, first, at = np.unique(indices, return_index=True, return_inverse=True)
+            place = np.argsort(np.argsort(first))
+            colours, indices = colours[used[np.argsort(first)]], place[at]
+        return self.enveloped(bandcodec.encode(indices.reshape(height, width), colours, self.style))
+
+    def enveloped(self, data: bytes) -> bytes:
+        if self.macro is not None:
+            data = b"\x1bP%d;0;1!z" % self.macro + data.hex().encode() + b"\x1b\\"
+        return bandcodec.wrapped(data) if self.penetrate else data
+
+    @staticmethod
+    def invoke(macro: int) -> bytes:
+        """What makes a terminal run the macro of that number."""
+        return b"\x1b[%d*z" % macro
+
+    # --- files ---------------------------------------------------------------------
+
+    def read(self, spark: SparkSession, path: str) -> DataFrame:
+        """Frames of the files below a path, with the options for reading."""
+        from pixloom.sources.loader import read_frames
+
+        return read_frames(spark, path, self.background, self.static, self.loops, self.loop)
+
+    def encode_files(self, spark: SparkSession, path: str) -> DataFrame:
+        return self.encode_frames(self.read(spark, path))
 
     # --- a table of frames ---------------------------------------------------------
 
@@ -113,15 +153,36 @@ class Encoder:
             from pixloom.sources.loader import raster_of
 
             for batch in batches:
-                for row in batch.to_pylist():
+                for at in range(batch.num_rows):  # one picture is unpacked at a time
+                    (row,) = batch.slice(at, 1).to_pylist()
                     data, message = None, row["message"]
                     if message is None:
                         try:
+                            if None in (row["width"], row["height"], row["pixels"]):
+                                raise ValueError("width, height and pixels are needed")
                             data = self.encode(raster_of(row))
-                        except ValueError as e:
+                        except (ValueError, TypeError, IndexError) as e:
                             message = str(e)
                     values = [row["source"], row["loop_no"], row["frame_no"], row["delay"], data, message]
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         chosen = frames.where("frame_no = 0 AND loop_no = 0") if self.static else frames
         return chosen.mapInArrow(run, "source string, loop_no int, frame_no int, delay int, data binary, message string")
+
+
+def palette_from_file(spark: SparkSession, path: str, colours: int = 256, background: tuple[int, int, int] | None = None) -> tuple[tuple[int, int, int], ...]:
+    """The palette that a picture's first frame has, or one made for it."""
+    from pixloom.sources.loader import raster_of, read_frames
+
+    row = read_frames(spark, path, background, static=True).where("loop_no = 0 AND frame_no = 0").first()
+    if row is None:
+        raise ValueError("the palette's file is empty")
+    if row["message"] is not None:
+        raise ValueError(row["message"])
+    if row["pixelformat"] == "PAL8":
+        made = np.frombuffer(row["palette"], np.uint8).reshape(-1, 3)
+    elif row["pixelformat"] == "G8":
+        made = np.array(builtin_palette("gray8"))
+    else:
+        made, _ = Encoder(colours=colours, quality="high", largest="norm", representative="center").choose_palette(raster_of(row))
+    return tuple(tuple(map(int, c)) for c in made)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixloom.functions import color
@@ -13,6 +13,7 @@ from pixloom.operators import bandcodec, bands, diffuse, geometry, highcolor, hi
 from pixloom.operators.geometry import Crop
 from pixloom.plans.bridge import PIX_SQL, SIDE, frames, pixels
 from pixloom.sources import sniff, writers
+from pixloom.sources.loader import decode_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,18 +100,62 @@ def p2_reorder_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT image_id, CAST(bits AS BIGINT) AS bits, count(*) AS n, CAST(sum(v) AS BIGINT) AS v_sum,
        CAST(sum(v * (y * 1009 + x * 31 + 1)) AS BIGINT) AS v_placed FROM cut GROUP BY image_id, bits""")
 def p5_unpack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for bits in (1, 2, 4):
-        cut = pixels(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8 // bits - 1))))
-        parts.append(cut.select(
-            "image_id", "y", (F.col("x") * (8 // bits) + F.col("k")).alias("x"), F.lit(bits).cast("long").alias("bits"),
-            color.sub_pixel(F.col("r"), F.col("k"), bits).cast("long").alias("v"),
-        ))
-    made = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    cuts = [F.struct(F.lit(bits).cast("long").alias("bits"), F.lit(k).alias("k"), color.sub_pixel(F.col("r"), F.lit(k), bits).cast("long").alias("v"))
+            for bits in (1, 2, 4) for k in range(8 // bits)]
+    cut = pixels(spark, sf_dir).select("image_id", "y", "x", F.explode(F.array(*cuts)).alias("c")).select("image_id", "y", "x", "c.*")
+    made = cut.withColumn("x", F.col("x") * F.call_function("div", F.lit(8), F.col("bits")) + F.col("k"))
     place = F.col("y") * 1009 + F.col("x") * 31 + 1
     return made.groupBy("image_id", "bits").agg(F.count("*").alias("n"), F.sum("v").alias("v_sum"), F.sum(F.col("v") * place).alias("v_placed"))
 
 
+#: Pixel formats by how their 64 bytes (the red samples of a picture, in order) are cut into one row of pixels.
+_LETTERS = ("RGB888", "BGR888", "RGBA8888", "ARGB8888", "BGRA8888", "ABGR8888", "AG88", "GA88", "G8")
+_PACKED = ("G1", "G2", "G4", "PAL1", "PAL2", "PAL4", "PAL8")
+
+
+def _normal_sql(kind: str) -> str:
+    letters, n = kind.rstrip("0123456789"), color.BYTES_PER_PIXEL.get(kind, 1)
+    if kind in _WORDS:
+        s, m, u = (11, 63, 2) if kind.endswith("565") else (10, 31, 3)
+        word = "(v[2 * k + 1] * 256 + v[2 * k + 2])"
+        parts = [f"(({word} >> {s}) & 31) << 3", f"(({word} >> 5) & {m}) << {u}", f"({word} & 31) << 3"]
+        return f"SELECT image_id, '{kind}' AS kind, 'RGB888' AS made, [{', '.join(parts if letters == 'RGB' else parts[::-1])}] AS p, k FROM bytes, range(32) t(k)"
+    if kind in _LETTERS:
+        at = [letters.index("G")] * 3 if "R" not in letters else [letters.index(c) for c in "RGB"]
+        parts = ", ".join(f"v[{n} * k + {i + 1}]" for i in at)
+        return f"SELECT image_id, '{kind}' AS kind, 'RGB888' AS made, [{parts}] AS p, k FROM bytes, range({64 // n}) t(k)"
+    bits, made = int(kind.lstrip("GPAL")), "PAL8" if kind.startswith("PAL") else "G8"
+    per = 8 // bits
+    return f"SELECT image_id, '{kind}', '{made}', [(v[k // {per} + 1] >> (8 - {bits} - k % {per} * {bits})) & {(1 << bits) - 1}], k FROM bytes, range({64 * per}) t(k)"
+
+
+@query("p4_normalise", f"WITH {PIX_SQL}, bytes AS (SELECT image_id, list(r ORDER BY y, x) AS v FROM pix GROUP BY image_id), made AS ("
+       + " UNION ALL ".join(_normal_sql(k) for k in (*_WORDS, *_LETTERS, *_PACKED)) + """),
+flat AS (SELECT image_id, kind, made, k * len(p) + j - 1 AS place, p[j] AS value, len(p) AS planes FROM made, range(1, 4) t(j) WHERE j <= len(p))
+SELECT image_id, kind, made, count(*) // any_value(planes) AS width, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (place + 1)) AS BIGINT) AS placed
+FROM flat GROUP BY image_id, kind, made""")
+def p4_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixloom.sources.pixelformat import raw_frames
+
+    kinds = (*_WORDS, *_LETTERS, *_PACKED)
+    pixels_of = {k: 64 // color.BYTES_PER_PIXEL[k] if k in color.BYTES_PER_PIXEL else 64 * 8 // color.BITS_PER_PIXEL[k] for k in kinds}
+    forms = F.array(*[F.struct(F.lit(k).alias("pixelformat"), F.lit(n).alias("width")) for k, n in pixels_of.items()])
+    # Every third byte of a packed picture is a red sample.
+    red = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.hex(F.substring("pixels", i * 3 + 1, F.lit(1)))), ""))
+    raw = frames(spark, sf_dir).select("image_id", red.alias("pixels"), F.explode(forms).alias("form")).select(
+        F.concat_ws("/", F.col("image_id").cast("string"), "form.pixelformat").alias("source"), "form.width", F.lit(1).alias("height"),
+        "form.pixelformat", "pixels", F.lit(None).cast("binary").alias("palette"),
+    )
+    made = raw_frames(raw, expand=False)
+    flat = made.select(
+        F.split("source", "/")[0].cast("long").alias("image_id"), F.split("source", "/")[1].alias("kind"), F.col("pixelformat").alias("made"),
+        F.col("width").cast("long").alias("width"), F.posexplode(F.transform(
+            F.sequence(F.lit(1), F.octet_length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("long")
+        )).alias("at", "value"),
+    )
+    return flat.groupBy("image_id", "kind", "made", "width").agg(F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("at") + 1)).alias("placed"))
+
+
 @query("p7_blend_alpha", _digest_sql(
     "(SELECT image_id, y, x, (r * a + 16 * (255 - a)) >> 8 AS r, (g * a + 32 * (255 - a)) >> 8 AS g, (b * a + 48 * (255 - a)) >> 8 AS b "
     "FROM (SELECT *, (r + g + b) % 256 AS a FROM pix))", *RGB))
@@ -213,10 +258,8 @@ def a1_color_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, bucket) AS rank, count(*) OVER (PARTITION BY image_id) AS colours FROM coloured)
 SELECT image_id, rank, bucket, n, r, g, b, colours FROM ranked WHERE rank <= 3""")
 def a2_dominant_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = _hist(spark, sf_dir)
-    top = histogram.dominant(histogram.with_colour(hist), 3)
-    count = hist.groupBy("image_id").agg(F.count("*").alias("colours"))
-    return top.join(count, "image_id").select("image_id", "rank", "bucket", "n", *RGB, "colours")
+    hist = _hist(spark, sf_dir).withColumn("colours", F.count("*").over(Window.partitionBy("image_id")))
+    return histogram.dominant(histogram.with_colour(hist), 3).select("image_id", "rank", "bucket", "n", *RGB, "colours")
 
 
 def _box_sql() -> str:
@@ -260,10 +303,10 @@ def _nearest_sql(source: str, weight: int = 1) -> str:
 @query("j1_palette_expand", _digest_sql("(SELECT image_id, y, x, pr AS r, pg AS g, pb AS b FROM near JOIN cube ON i = idx)", *RGB, ctes=_CUBE_SQL + _nearest_sql("pix")))
 def j1_palette_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = quantize.quantize(pixels(spark, sf_dir), CUBE_8)
+    # One row with a palette for each picture: an array of at most 256 colours.
     ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"))
-    entries = F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), *[F.lit(v).cast("long").alias(c) for v, c in zip(p, RGB)]) for i, p in enumerate(CUBE_8)])
-    own = ids.select("image_id", F.explode(entries).alias("e")).select("image_id", "e.*")
-    return _digest(quantize.expand(indexed, own), *RGB)
+    colours = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(p, RGB)]) for p in CUBE_8])
+    return _digest(quantize.expand(indexed, ids.select("image_id", colours.alias("palette"))), *RGB)
 
 
 @query("j2_nearest_color", _digest_sql("near", "idx", ctes=_CUBE_SQL + _nearest_sql("pix", 2)))
@@ -302,14 +345,32 @@ for _kind, _name in (("additive", "d6_ordered_additive"), ("xor", "d7_ordered_xo
 @query("a8_palette_compaction", f"""WITH {PIX_SQL}{_CUBE_SQL}{_nearest_sql("pix")}, used AS (SELECT image_id, idx, min(y * 8 + x) AS first FROM near GROUP BY ALL)
 SELECT image_id, CAST(idx AS BIGINT) AS idx, row_number() OVER (PARTITION BY image_id ORDER BY first) - 1 AS new_idx FROM used""")
 def a8_palette_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantize.compact(quantize.quantize(pixels(spark, sf_dir), CUBE_8), SIDE).select("image_id", "idx", "new_idx").distinct()
-
-
-@query("d15_builtin_palettes", "WITH g AS (SELECT b.bits, v FROM (VALUES (1), (2), (4), (8)) b(bits), range(256) t(v) WHERE v < (1 << b.bits)) "
-       "SELECT CAST(bits AS BIGINT) AS bits, v AS idx, v * 255 // ((1 << bits) - 1) AS gray FROM g")
+    return quantize.renumbered(quantize.quantize(pixels(spark, sf_dir), CUBE_8), SIDE)
+
+
+_BASIC_SQL = "[0, 128, 0, 128, 0, 128, 0, 192, 128, 255, 0, 255, 0, 255, 0, 255]", "[0, 0, 128, 128, 0, 0, 128, 192, 128, 0, 255, 255, 0, 0, 255, 255]", "[0, 0, 0, 0, 128, 128, 128, 192, 128, 0, 0, 0, 255, 255, 255, 255]"
+_VT_SQL = "[20, 80, 20, 80, 20, 80, 53, 26, 33, 60, 33, 60, 33, 60, 80, 0]", "[20, 13, 80, 20, 80, 80, 53, 26, 33, 26, 60, 33, 60, 60, 80, 0]", "[80, 13, 20, 80, 80, 20, 53, 26, 60, 26, 33, 60, 60, 33, 80, 0]"
+_STEPS_SQL = "[0, 95, 135, 175, 215, 255]"
+
+
+@query("d15_builtin_palettes", f"""WITH gray AS (
+  SELECT 'gray' || b.bits AS name, v AS idx, v * 255 // ((1 << bits) - 1) AS level FROM (VALUES (1), (2), (4), (8)) b(bits), range(256) t(v) WHERE v < (1 << b.bits)),
+basic AS (SELECT i AS idx, {_BASIC_SQL[0]}[i + 1] AS r, {_BASIC_SQL[1]}[i + 1] AS g, {_BASIC_SQL[2]}[i + 1] AS b FROM range(16) t(i)),
+made AS (
+  SELECT name, idx, level AS r, level AS g, level AS b FROM gray
+  UNION ALL SELECT 'mono', v, 255 * v, 255 * v, 255 * v FROM range(2) t(v)
+  UNION ALL SELECT 'monolight', v, 255 * (1 - v), 255 * (1 - v), 255 * (1 - v) FROM range(2) t(v)
+  UNION ALL SELECT 'xterm16', * FROM basic
+  UNION ALL SELECT 'xterm256', * FROM basic
+  UNION ALL SELECT 'xterm256', 16 + i, {_STEPS_SQL}[i // 36 + 1], {_STEPS_SQL}[i // 6 % 6 + 1], {_STEPS_SQL}[i % 6 + 1] FROM range(216) t(i)
+  UNION ALL SELECT 'xterm256', 232 + i, 8 + 10 * i, 8 + 10 * i, 8 + 10 * i FROM range(24) t(i)
+  UNION ALL SELECT 'vt340mono', i, p * 255 // 100, p * 255 // 100, p * 255 // 100
+    FROM (SELECT i, [13, 26, 40, 6, 20, 33, 46, 0][i % 8 + 1] AS p FROM range(16) t(i))
+  UNION ALL SELECT 'vt340color', i, {_VT_SQL[0]}[i + 1] * 255 // 100, {_VT_SQL[1]}[i + 1] * 255 // 100, {_VT_SQL[2]}[i + 1] * 255 // 100 FROM range(16) t(i))
+SELECT name, CAST(idx AS BIGINT) AS idx, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM made""")
 def d15_builtin_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(bits, i, c[0]) for bits in (1, 2, 4, 8) for i, c in enumerate(quantize.gray_palette(bits))]
-    return spark.createDataFrame(rows, "bits long, idx long, gray long")
+    rows = [(name, i, *c) for name in quantize.BUILTIN for i, c in enumerate(quantize.builtin_palette(name))]
+    return spark.createDataFrame(rows, "name string, idx long, r long, g long, b long")
 
 
 # --- resampling ------------------------------------------------------------------
@@ -387,12 +448,14 @@ def w6_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w7_band_intervals", f"""WITH {PIX_SQL}{_PLANES}, marked AS (
-  SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY image_id, band, idx ORDER BY x) > 10 THEN 1 ELSE 0 END AS new FROM planes),
+  SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY image_id, band, idx ORDER BY x) > 10 THEN 1 ELSE 0 END AS new FROM (SELECT * REPLACE (x * 5 AS x) FROM planes)),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY image_id, band, idx ORDER BY x) AS island FROM marked),
 nodes AS (SELECT image_id, band, CAST(idx AS BIGINT) AS idx, min(x) AS sx, max(x) + 1 AS mx FROM numbered GROUP BY image_id, band, idx, island)
 SELECT *, row_number() OVER (PARTITION BY image_id, band ORDER BY sx, mx DESC, idx) AS place FROM nodes""")
 def w7_band_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.drawing_order(bands.intervals(bands.planes(_indexed(spark, sf_dir))))
+    # Columns stand five apart, so that two that are missing between two others part an interval.
+    wide = bands.planes(_indexed(spark, sf_dir)).withColumn("x", F.col("x") * 5)
+    return bands.drawing_order(bands.intervals(wide))
 
 
 @query("c2_palette_text", f"""WITH {PIX_SQL}, colours AS (SELECT image_id, x AS idx, r, g, b FROM pix WHERE y = 0)
@@ -402,7 +465,7 @@ def c2_palette_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.palette_text(pixels(spark, sf_dir).where("y = 0").select("image_id", F.col("x").alias("idx"), *RGB))
 
 
-# --- order-dependent operators: no SQL; tests hold them against plain models --------
+# --- order-dependent operators: recursive SQL where it can say them; tests hold all against plain models --------
 
 
 def _with_palettes(spark: SparkSession, sf_dir: str, colours: int) -> DataFrame:
@@ -414,12 +477,48 @@ def w4_median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palette.median_cut(_hist(spark, sf_dir), 8).withColumn("palette", F.lower(F.hex("palette")))
 
 
-for _k, _kernel in enumerate(("floyd-steinberg", "atkinson", "jarvis", "stucki", "burkes")):
-    query(f"d{_k + 1}_{_kernel.replace('-', '_')}")(
-        lambda spark, sf_dir, kernel=_kernel: diffuse.diffuse_frames(_with_palettes(spark, sf_dir, 8), kernel).select(
-            "image_id", F.lower(F.hex("indices")).alias("indices"), "ncolors"
+def _with_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pictures with one palette of eight colours, more than which they have."""
+    colours = bytes(v for c in CUBE_8 for v in c)
+    return frames(spark, sf_dir).select("*", F.lit(colours).alias("palette"), F.lit(8).cast("long").alias("ncolors"), F.lit(99).cast("long").alias("origcolors"))
+
+
+def _diffusion_sql(kernel: str) -> str:
+    """Pixel by pixel: the lists of samples, with the answers so far and those that 15-bit buckets keep."""
+    spreads = {
+        "floyd-steinberg": "pos % 8 < 7 AND pos // 8 < 7", "atkinson": "pos // 8 < 6", "jarvis": "pos < 6 * 8 - 2", "stucki": "pos < 6 * 8 - 2", "burkes": "pos < 7 * 8 - 2",
+    }[kernel]
+
+    def moved(c: str) -> str:
+        error = f"({c}s[pos + 1] - cube[best + 1].{c})"
+        cases = " ".join(
+            f"WHEN i = pos + {1 + down * 8 + right} THEN greatest(0, least(255, v + sign({error}) * (abs({error}) * {num} // {den})))"
+            for down, right, num, den in diffuse.KERNELS[kernel]
+        )
+        return f"CASE WHEN {spreads} THEN list_transform({c}s, lambda v, i: CAST(CASE {cases} ELSE v END AS BIGINT)) ELSE {c}s END"
+
+    cube = "[" + ", ".join(f"{{'r': {r}, 'g': {g}, 'b': {b}}}" for r, g, b in CUBE_8) + "]"
+    return f"""WITH RECURSIVE {PIX_SQL}, step AS (
+  SELECT image_id, 0 AS pos, list(r ORDER BY y, x) AS rs, list(g ORDER BY y, x) AS gs, list(b ORDER BY y, x) AS bs, [CAST(0 AS BIGINT)][:0] AS idx,
+         [CAST(0 AS BIGINT)][:0] AS keys, {cube} AS cube
+  FROM pix GROUP BY image_id
+  UNION ALL
+  SELECT image_id, pos + 1, {moved("r")}, {moved("g")}, {moved("b")}, list_append(idx, best), list_append(keys, key), cube
+  FROM (SELECT *, CASE WHEN list_position(keys, key) > 0 THEN idx[list_position(keys, key)] ELSE CAST(list_position(away, list_min(away)) - 1 AS BIGINT) END AS best
+        FROM (SELECT *, (rs[pos + 1] >> 3 << 10) | (gs[pos + 1] >> 3 << 5) | (bs[pos + 1] >> 3) AS key,
+                     list_transform(cube, lambda c: (rs[pos + 1] - c.r) * (rs[pos + 1] - c.r) + (gs[pos + 1] - c.g) * (gs[pos + 1] - c.g) + (bs[pos + 1] - c.b) * (bs[pos + 1] - c.b)) AS away
+              FROM step WHERE pos < 64))),
+done AS (SELECT image_id, idx, cube, array_to_string(list_transform(idx, lambda v: printf('%02x', v)), '') AS indices FROM step WHERE pos = 64)
+"""
+
+
+for _k, _kernel in enumerate(diffuse.KERNELS):
+    if _kernel != "none":
+        query(f"d{_k}_{_kernel.replace('-', '_')}", _diffusion_sql(_kernel) + "SELECT image_id, indices, CAST(8 AS BIGINT) AS ncolors FROM done")(
+            lambda spark, sf_dir, kernel=_kernel: diffuse.diffuse_frames(_with_cube(spark, sf_dir), kernel).select(
+                "image_id", F.lower(F.hex("indices")).alias("indices"), "ncolors"
+            )
         )
-    )
 
 
 @query("c3_encode_stream")
@@ -428,10 +527,16 @@ def c3_encode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("image_id", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"), "message")
 
 
-@query("c10_decode_stream")
+# What is read back is what was written: indices, and colours in whole per cents.
+@query("c10_decode_stream", _diffusion_sql("atkinson") + """SELECT image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, indices,
+  array_to_string(list_transform(cube, lambda c: printf('%02x%02x%02x', ((c.r * 100 + 127) // 255 * 255 + 50) // 100, ((c.g * 100 + 127) // 255 * 255 + 50) // 100, ((c.b * 100 + 127) // 255 * 255 + 50) // 100)), '') AS colours,
+  CAST(NULL AS VARCHAR) AS message FROM done""")
 def c10_decode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = bandcodec.decode_streams(bandcodec.encode_frames(diffuse.diffuse_frames(_with_palettes(spark, sf_dir, 8))))
-    return back.select("image_id", "width", "height", F.lower(F.hex("indices")).alias("indices"), "ncolors", "message")
+    back = bandcodec.decode_streams(bandcodec.encode_frames(diffuse.diffuse_frames(_with_cube(spark, sf_dir))))
+    return back.select(
+        "image_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.lower(F.hex("indices")).alias("indices"),
+        F.lower(F.hex(F.substring("palette", 1, 24))).alias("colours"), "message",
+    )
 
 
 @query("c7_high_color")
@@ -440,10 +545,15 @@ def c7_high_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("image_id", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
 
 
-@query("k4_write_png")
+@query("k4_write_png", _diffusion_sql("atkinson") + """SELECT image_id, 8 AS width, 8 AS height,
+  sha256(unhex(array_to_string(list_transform(idx, lambda v: printf('%02x%02x%02x', cube[v + 1].r, cube[v + 1].g, cube[v + 1].b)), ''))) AS pixels_sha256,
+  CAST(NULL AS VARCHAR) AS message FROM done""")
 def k4_write_png(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = writers.to_png(diffuse.diffuse_frames(_with_palettes(spark, sf_dir, 8)))
-    return made.select("image_id", F.octet_length("png").cast("long").alias("bytes"))
+    written = writers.to_png(diffuse.diffuse_frames(_with_cube(spark, sf_dir)))
+    back = decode_files(written.select(F.col("image_id").cast("string").alias("path"), F.col("png").alias("content")))
+    return back.select(
+        F.col("source").cast("long").alias("image_id"), F.col("width"), F.col("height"), F.sha2("pixels", 256).alias("pixels_sha256"), "message"
+    )
 
 
 @query("k2_macro_text", f"""WITH {PIX_SQL} SELECT image_id, chr(27) || 'P3;0;1!z' || lower(hex(CAST(image_id AS VARCHAR))) || chr(27) || chr(92) AS macro FROM pix GROUP BY image_id""")

@@ -60,9 +60,10 @@ def _samples(packed: np.ndarray, depth: int, count: int) -> np.ndarray:
 
 
 def read(data: bytes, background: tuple[int, int, int] | None = None) -> dict:
-    """width, height, raster (RGB or indices), palette or None, transparent index or -1.
+    """width, height, raster (RGB, gray or indices), palette or None, transparent index or -1, whether it is gray.
 
-    Alpha is blended on the given background, else the file's, else black.
+    Alpha is blended on the given background, else the file's, else black; so is
+    a colour that the file calls transparent.  Grays without either stay grays.
     """
     if data[:8] != MAGIC:
         raise ValueError("not a PNG")
@@ -90,14 +91,27 @@ def read(data: bytes, background: tuple[int, int, int] | None = None) -> dict:
         start += h * (stride + 1)
     trns = chunks.get(b"tRNS", b"")
     back = np.array(background or (0, 0, 0), np.int64)
-    if background is None and b"bKGD" in chunks and colour in (2, 6):
-        back = np.array([v >> 8 if depth == 16 else v for v in struct.unpack(">3H", chunks[b"bKGD"])], np.int64)
     if colour == 3:
         palette = np.frombuffer(chunks[b"PLTE"], np.uint8).reshape(-1, 3).astype(np.int64)
+    if background is None and b"bKGD" in chunks:
+        said = chunks[b"bKGD"]
+        if colour == 3:
+            back = palette[said[0]] if said and said[0] < len(palette) else back
+        else:
+            values = [v >> 8 if depth == 16 else v * 255 // ((1 << depth) - 1) for v in struct.unpack(f">{len(said) // 2}H", said)]
+            back = np.array(values * 3 if colour in (0, 4) else values, np.int64)
+    if colour == 3:
         if trns:
             alpha = np.frombuffer(trns, np.uint8).astype(np.int64)[:, None]
             palette[: len(alpha)] = (255 - alpha) * back + alpha * palette[: len(alpha)] >> 8
-        return {"width": width, "height": height, "raster": image[:, :, 0], "palette": palette.astype(np.uint8), "transparent": -1}
+        transparent = int(np.argmin(np.frombuffer(trns, np.uint8))) if trns and 0 in trns else -1
+        return {
+            "width": width, "height": height, "raster": image[:, :, 0], "palette": palette.astype(np.uint8), "transparent": transparent, "gray": False,
+        }
+    key = None
+    if trns and colour in (0, 2):
+        wanted = np.array([v >> 8 if depth == 16 else v for v in struct.unpack(f">{len(trns) // 2}H", trns)], np.uint8)
+        key = (image == wanted).all(axis=2, keepdims=True)
     if depth < 8:
         image = (image.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
     if colour in (0, 4):
@@ -107,4 +121,7 @@ def read(data: bytes, background: tuple[int, int, int] | None = None) -> dict:
     if alpha is not None:
         a = alpha.astype(np.int64)
         rgb = (rgb * a + back * (255 - a) >> 8).astype(np.uint8)
-    return {"width": width, "height": height, "raster": rgb, "palette": None, "transparent": -1}
+    elif key is not None:
+        rgb = np.where(key, back, rgb).astype(np.uint8)
+    gray = colour == 0 and key is None
+    return {"width": width, "height": height, "raster": rgb[:, :, 0] if gray else rgb, "palette": None, "transparent": -1, "gray": gray}
