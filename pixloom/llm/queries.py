@@ -54,7 +54,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.pmod(lang_id.checksum("doc_id"), F.lit(3)) == 1
     model = lang_id.fit(docs.where(~held))
     return lang_id.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "lang_pred", F.col("lang_score").alias("score")
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_rejected"
     )
 
 
