@@ -242,7 +242,12 @@ class Counts:
 
 def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: float = 0.0,
              block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: fold, token counts, unigram and backoff scores."""
+    """One row for each document: fold, token counts, unigram and backoff scores.
+
+    ``mean_score`` is the score by token; ``elsewhere`` the share of the text's
+    pairs that training texts other than this row have too: 1 for a text that
+    training has twice, or once if the row itself is held out.
+    """
     held = F.pmod(checksum(id_col), F.lit(folds)) == held_fold
     rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), utf8(text_col).alias("text")
@@ -338,6 +343,16 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
         known = (counts.words > 0)[block.tokens[block.inner + 1]]
         ends = np.cumsum(block.sizes - 1)
         starts = ends - (block.sizes - 1)
+        # How often a text itself has each of its pairs: the rest of a pair's count is from other texts.
+        pair_at = block.pair_at
+        keys = np.repeat(np.arange(len(block.sizes)), block.sizes - 1) * max(1, len(block.first)) + pair_at
+        order = np.argsort(keys, kind="stable")
+        new = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))
+        times = np.diff(np.append(np.flatnonzero(new), len(keys)))
+        own = np.empty(len(keys), np.int64)
+        own[order] = np.repeat(times, times)
+        del keys, order, new, times
+        elsewhere = counts.pairs[pair_at] > np.where(block.trains[block.inner], own, 0)
         spans = list(zip(starts.tolist(), ends.tolist()))
         release_memory()
         return pa.table({
@@ -346,8 +361,11 @@ def lm_score(docs: DataFrame, folds: int = 5, held_fold: int = 1, min_share: flo
             "train_tokens": pa.array([counts.total] * len(spans), pa.int64()),
             "base_score": pa.array([float(roots[a:b].sum()) for a, b in spans], pa.float64()),
             "score": pa.array([float(weights[a:b].sum()) for a, b in spans], pa.float64()),
+            "mean_score": pa.array([float(weights[a:b].sum()) / (b - a) for a, b in spans], pa.float64()),
+            "elsewhere": pa.array(np.add.reduceat(elsewhere.astype(np.int64), starts) / (ends - starts), pa.float64()),
         })
 
     return blocks.cogroup(answers.groupBy("block")).applyInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+        "mean_score double, elsewhere double",
     )
