@@ -330,6 +330,21 @@ def test_lm_equals_direct_counting(spark):
         assert math.isclose(r["base_score"], sum(math.log10(share(w)) for w in ws), rel_tol=1e-9)
         p = [(kept[h, w] - 0.75) / starts[h] + left[h] * share(w) if (h, w) in kept else left.get(h, 1.0) * share(w) for h, w in zip(["<start>", *ws], ws)]
         assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=1e-9)
+        pairs = list(zip(["<start>", *ws], ws))
+        own = collections.Counter(pairs) if not held[i] else {}
+        assert math.isclose(r["mean_score"], r["score"] / len(ws), rel_tol=1e-9)
+        assert math.isclose(r["elsewhere"], sum(two[p] > own.get(p, 0) for p in pairs) / len(ws), abs_tol=1e-12)
+
+
+def test_lm_tells_texts_that_training_has_apart(spark):
+    rng = random.Random(67)
+    texts = [prose(rng, 80) for _ in range(30)]
+    docs = [(i, texts[i % 20] if i < 40 else texts[i - 20]) for i in range(50)]
+    got = {r["doc_id"]: r for r in lm_score.lm_score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, _ in docs:
+        twin = (i + 20) % 40 if i < 40 else None
+        seen = twin is not None and zlib.crc32(str(twin).encode()) % 5 != 1
+        assert (got[i]["elsewhere"] == 1) == seen and (seen or got[i]["elsewhere"] < 0.8)
 
 
 def test_lm_keeps_every_training_pair(spark):
