@@ -72,6 +72,8 @@ def diffuse(pixels: np.ndarray, palettes: np.ndarray, sizes: np.ndarray, width:
     if kernel in MASKS:
         data = np.clip((data + mask(kernel, width, height).reshape(1, -1, 3) * 32.0).astype(np.int64), 0, 255)
         kernel = "none"
+    if len(data) == 1:
+        return _diffuse_one(data[0], palettes[0, : sizes[0]].astype(np.int64), width, height, kernel, cached, red_weight)[None]
     weights = np.array([red_weight, 1, 1])
     palettes = palettes.astype(np.int64)
     n, colours = len(data), palettes.shape[1]
@@ -106,6 +108,51 @@ def diffuse(pixels: np.ndarray, palettes: np.ndarray, sizes: np.ndarray, width:
     return out
 
 
+def _diffuse_one(data: np.ndarray, palette: np.ndarray, width: int, height: int, kernel: str, cached: bool, red_weight: int) -> np.ndarray:
+    """The same for one picture, sample by sample: whole numbers of Python are faster than arrays of one element."""
+    colours = palette.tolist()
+    dark, light = colours == [[0, 0, 0], [255, 255, 255]], colours == [[255, 255, 255], [0, 0, 0]]
+    weights = np.array([red_weight, 1, 1])
+    if kernel == "none" and not cached and not dark and not light:  # nothing depends on anything
+        out = np.empty(len(data), np.uint8)
+        step = max(1, STACK_BYTES // (24 * len(colours)))
+        for at in range(0, len(data), step):
+            out[at : at + step] = ((data[at : at + step, None, :] - palette) ** 2 * weights).sum(axis=2).argmin(axis=1)
+        return out
+    planes = [data[:, c].tolist() for c in range(3)]
+    red, green, blue = planes
+    known: dict[int, int] = {}
+    out = bytearray(len(red))
+    shares = [(down * width + right, num, den) for down, right, num, den in KERNELS[kernel]]
+    pos = 0
+    for y in range(height):
+        for x in range(width):
+            r, g, b = red[pos], green[pos], blue[pos]
+            if dark or light:
+                best = int((r + g + b >= 256) ^ light)
+            else:
+                key = r >> 3 << 10 | g >> 3 << 5 | b >> 3 if cached else r << 16 | g << 8 | b
+                best = known.get(key, -1)
+                if best < 0:
+                    best = known[key] = int((((r, g, b) - palette) ** 2 * weights).sum(axis=1).argmin())
+            out[pos] = best
+            if shares and spreads(kernel, x, y, width, height):
+                for plane, was, now in zip(planes, (r, g, b), colours[best]):
+                    error = was - now
+                    if error > 0:
+                        for to, num, den in shares:
+                            v = plane[pos + to] + error * num // den
+                            plane[pos + to] = v if v < 255 else 255
+                    elif error:
+                        for to, num, den in shares:
+                            v = plane[pos + to] - (-error * num // den)
+                            plane[pos + to] = v if v > 0 else 0
+            pos += 1
+        if not cached and len(known) > 1 << 20:
+            known.clear()
+    return np.frombuffer(bytes(out), np.uint8)
+
+
 def diffuse_frames(frames: DataFrame, kernel: str = "auto", cached: bool = True, skip_if_fits: bool = True) -> DataFrame:
     """image_id, width, height, indices, palette, ncolors of frames that carry a palette, ncolors and origcolors.
 

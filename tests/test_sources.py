@@ -258,6 +258,31 @@ def test_further_options(tmp_path, spark):
     assert Encoder().encode_frames(nulls).first()["message"]
 
 
+@pytest.mark.parametrize("kernel", [*diffuse.KERNELS, *diffuse.MASKS])
+@pytest.mark.parametrize("cached", [True, False])
+def test_one_picture_as_in_a_stack(kernel, cached):
+    for size in ((9, 11), (1, 5), (5, 1), (2, 3)):
+        pixels = RNG.integers(0, 256, (2, size[0] * size[1], 3))
+        for own in (RNG.integers(0, 256, (5, 3)), np.array([[0, 0, 0], [255, 255, 255]]), np.array([[255, 255, 255], [0, 0, 0]])):
+            sizes = np.array([len(own)] * 2)
+            both = diffuse.diffuse(pixels, np.stack([own, own]), sizes, *size, kernel, cached, 2)
+            for k in range(2):
+                assert (diffuse.diffuse(pixels[k : k + 1], own[None], sizes[:1], *size, kernel, cached, 2)[0] == both[k]).all()
+
+
+def test_names_of_colours_from_a_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pixloom.functions.color import parse_colour
+    from pixloom.sources.names import read_names
+
+    (tmp_path / "rgb.txt").write_text("! comment\n255 250 250\t\tsnow\n248 248 255   ghost white\n\n# other\n1 2 x bad\n  0   0 128 Navy\n")
+    names = read_names(spark, str(tmp_path / "rgb.txt"))
+    assert names == {"snow": (255, 250, 250), "ghost white": (248, 248, 255), "navy": (0, 0, 128)}
+    rows = spark.createDataFrame([("Snow",), ("GHOST WHITE",), ("none",)], "s string").select(parse_colour(F.col("s"), names).alias("c")).collect()
+    assert [r["c"] and tuple(r["c"]) for r in rows] == [(255, 250, 250), (248, 248, 255), None]
+
+
 def test_sizes_are_clamped():
     assert geometry.target_size(10, 20, "150%", None) == (15, 30) and geometry.target_size(10, 20, 10**9, 5) == (10**6, 5) and geometry.target_size(3, 2, None, "1px") == (2, 1)
     with pytest.raises(ValueError):
