@@ -568,7 +568,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key")).groupBy("id", "key").agg(F.count("*").alias("n"))
     placed = written(rows.join(groups, "key"))
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("best"))
-    judged = placed.join(first, "component").withColumn("stays", F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.key") == F.col("key")))
+    first = first.select(F.col("best.id").alias("best_id"), F.col("best.key").alias("best_key"), F.lit(True).alias("best"))
+    # By id and text, not by component: a component may hold a third of all rows.
+    met = placed.join(first, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key")), "left")
+    judged = met.withColumn("stays", F.coalesce("best", F.lit(False)))
     others = written(judged.where("NOT stays OR n > 1").select(F.col("id").alias("__id"), F.col("key").alias("__key"), "stays"))
 
     def known(of: DataFrame) -> tuple[DataFrame, Column]:
