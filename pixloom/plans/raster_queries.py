@@ -472,7 +472,32 @@ def _with_palettes(spark: SparkSession, sf_dir: str, colours: int) -> DataFrame:
     return frames(spark, sf_dir).join(palette.median_cut(_hist(spark, sf_dir), colours), "image_id")
 
 
-@query("w4_median_cut")
+def _median_cut_sql(wanted: int) -> str:
+    """Box by box: the first box of several colours is cut at its median, then boxes go by weight."""
+    weight = "list_sum(list_transform(x, lambda e: e.n))"
+    sample = "CASE plane WHEN 0 THEN e.r WHEN 1 THEN e.g ELSE e.b END"
+    spread = {c: f"(list_max(list_transform(boxes[spot], lambda e: e.{c})) - list_min(list_transform(boxes[spot], lambda e: e.{c})))" for c in RGB}
+    middle = {c: f"(list_min(list_transform(x, lambda e: e.{c})) + list_max(list_transform(x, lambda e: e.{c}))) // 2" for c in RGB}
+    level = ", ".join(f"CAST({m} AS BIGINT)" for m in middle.values())
+    return f"""WITH RECURSIVE {PIX_SQL}{_HIST}, cut AS (
+  SELECT image_id, 1 AS k, CAST(len(entries) AS BIGINT) AS before, CASE WHEN len(entries) <= {wanted} THEN list_transform(entries, lambda e: [e]) ELSE [entries] END AS boxes
+  FROM (SELECT image_id, list({{'r': r, 'g': g, 'b': b, 'n': n}} ORDER BY first_pos) AS entries FROM coloured GROUP BY image_id)
+  UNION ALL
+  SELECT image_id, k + 1, before, list_transform(list_sort(list_transform(
+      list_append(list_transform(boxes, lambda x, i: CASE WHEN i = spot THEN own[1:half] ELSE x END), own[half + 1:]),
+      lambda x, i: {{'lighter': -{weight}, 'place': i, 'entries': x}})), lambda x: x.entries)
+  FROM (SELECT *, least(len(own) - 1, list_position(list_transform(running, lambda v: v >= running[len(running)] // 2), true)) AS half
+    FROM (SELECT *, list_transform(range(1, len(own) + 1), lambda j: list_sum(list_transform(own[1:j], lambda e: e.n))) AS running
+      FROM (SELECT *, list_transform(list_sort(list_transform(boxes[spot], lambda e: {{'first': {sample}, 'r': e.r, 'g': e.g, 'b': e.b, 'n': e.n}})),
+                                     lambda e: {{'r': e.r, 'g': e.g, 'b': e.b, 'n': e.n}}) AS own
+        FROM (SELECT *, CASE WHEN {spread["r"]} >= {spread["g"]} AND {spread["r"]} >= {spread["b"]} THEN 0 WHEN {spread["g"]} >= {spread["b"]} THEN 1 ELSE 2 END AS plane
+          FROM (SELECT *, list_position(list_transform(boxes, lambda x: len(x) > 1), true) AS spot FROM cut WHERE len(boxes) < {wanted}) WHERE spot > 0)))))
+SELECT image_id, array_to_string(list_transform(arg_max(boxes, k), lambda x: printf('%02x%02x%02x', {level})), '') AS palette,
+       CAST(len(arg_max(boxes, k)) AS BIGINT) AS ncolors, max(before) AS origcolors
+FROM cut GROUP BY image_id"""
+
+
+@query("w4_median_cut", _median_cut_sql(8))
 def w4_median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palette.median_cut(_hist(spark, sf_dir), 8).withColumn("palette", F.lower(F.hex("palette")))
 
@@ -539,10 +564,29 @@ def c10_decode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("c7_high_color")
+def _high_sql(kernel: str) -> str:
+    """15-bit dithering pixel by pixel, and the picture that the stream's whole per cents give back."""
+    plus, low_rows, low_columns, shares = highcolor.KERNELS[kernel]
+
+    def moved(c: str) -> str:
+        lost = f"(({c}s[pos + 1] & 7) + {plus})"
+        cases = " ".join(f"WHEN i = pos + {1 + down * 8 + right} THEN least(255, v + {lost} * {num} // {den})" for down, right, num, den in shares)
+        return f"CASE WHEN pos % 8 < {8 - low_columns} AND pos // 8 < {8 - low_rows} THEN list_transform({c}s, lambda v, i: CAST(CASE {cases} ELSE v END AS BIGINT)) ELSE {c}s END"
+
+    shown = ", ".join(f"((({c}s[i] >> 3 << 3) * 100 + 127) // 255 * 255 + 50) // 100" for c in RGB)
+    return f"""WITH RECURSIVE {PIX_SQL}, step AS (
+  SELECT image_id, 0 AS pos, list(r ORDER BY y, x) AS rs, list(g ORDER BY y, x) AS gs, list(b ORDER BY y, x) AS bs FROM pix GROUP BY image_id
+  UNION ALL SELECT image_id, pos + 1, {moved("r")}, {moved("g")}, {moved("b")} FROM step WHERE pos < 64)
+SELECT image_id, 8 AS width, 8 AS height, CAST(NULL AS VARCHAR) AS message,
+       sha256(unhex(array_to_string(list_transform(range(1, 65), lambda i: printf('%02x%02x%02x', {shown})), ''))) AS pixels_sha256
+FROM step WHERE pos = 64"""
+
+
+@query("c7_high_color", _high_sql("floyd-steinberg"))
 def c7_high_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = highcolor.encode_high_frames(frames(spark, sf_dir), "floyd-steinberg")
-    return made.select("image_id", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+    back = decode_files(made.select(F.col("image_id").cast("string").alias("path"), F.col("data").alias("content")), reqcolours=0)
+    return back.select(F.col("source").cast("long").alias("image_id"), "width", "height", "message", F.sha2("pixels", 256).alias("pixels_sha256"))
 
 
 @query("k4_write_png", _diffusion_sql("atkinson") + """SELECT image_id, 8 AS width, 8 AS height,

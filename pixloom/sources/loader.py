@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixloom.operators.bandcodec import decode
+from pixloom.operators.bandcodec import decode, render
 from pixloom.sources import bitmaps, gif, png, pnm
 from pixloom.sources.sniff import format_of
 
@@ -27,11 +27,13 @@ _KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
-def frames_of(kind: str, data: bytes, background=None, static: bool = False, loops: int = 1, force: bool = False) -> Iterator[tuple]:
+def frames_of(kind: str, data: bytes, background=None, static: bool = False, loops: int = 1, force: bool = False,
+              reqcolours: int = 256) -> Iterator[tuple]:
     """(loop_no, frame_no, delay, multiframe, width, height, pixelformat, pixels, palette) of a file.
 
     An animation is repeated ``loops`` times at most, and as often as it says if
-    that is less and not ``force``; ``static`` stops after the first frame.
+    that is less and not ``force``; ``static`` stops after the first frame.  A
+    stream of more than ``reqcolours`` colours is painted, others keep their palette.
     """
     if kind == "gif":
         every = list(gif.frames(data, background))
@@ -52,12 +54,17 @@ def frames_of(kind: str, data: bytes, background=None, static: bool = False, loo
         yield 0, 0, 0, False, raster.shape[1], raster.shape[0], "RGB888", raster.tobytes(), None
     elif kind == "bands":
         raster, palette = decode(data)
+        if len(palette) > reqcolours:
+            painted = render(data)
+            yield 0, 0, 0, False, painted.shape[1], painted.shape[0], "RGB888", painted.tobytes(), None
+            return
         yield 0, 0, 0, False, raster.shape[1], raster.shape[0], "PAL8", raster.tobytes(), palette.tobytes()
     else:
         raise ValueError(f"no reader for {kind or 'unknown bytes'}")
 
 
-def decode_files(files: DataFrame, background: tuple[int, int, int] | None = None, static: bool = False, loops: int = 1, force: bool = False) -> DataFrame:
+def decode_files(files: DataFrame, background: tuple[int, int, int] | None = None, static: bool = False, loops: int = 1, force: bool = False,
+                 reqcolours: int = 256) -> DataFrame:
     """Frames of a (batch or streaming) ``binaryFile`` table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +73,7 @@ def decode_files(files: DataFrame, background: tuple[int, int, int] | None = Non
                 if data in (b"", b"\n"):
                     continue
                 try:
-                    rows = [(path, kind, *f, None) for f in frames_of(kind, data, background, static, loops, force)]
+                    rows = [(path, kind, *f, None) for f in frames_of(kind, data, background, static, loops, force, reqcolours)]
                 except (ValueError, IndexError, KeyError, OSError) as e:
                     rows = [(path, kind, 0, 0, 0, False, None, None, None, None, None, str(e) or type(e).__name__)]
                 except Exception as e:  # zlib and struct have errors of their own
@@ -84,7 +91,7 @@ LOOPS = ("auto", "disable", "force")
 
 
 def read_frames(spark: SparkSession, path: str, background: tuple[int, int, int] | None = None, static: bool = False,
-                loops: int = 1, loop: str = "auto") -> DataFrame:
+                loops: int = 1, loop: str = "auto", reqcolours: int = 256) -> DataFrame:
     """Frames of all files below a path, whatever their formats.
 
     ``loop`` is "auto" (an animation is repeated as often as it says, ``loops``
@@ -95,7 +102,7 @@ def read_frames(spark: SparkSession, path: str, background: tuple[int, int, int]
         raise ValueError(f"unknown loop control {loop!r}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = format_of(F.col("content"))
-    own = decode_files(files.where(~F.coalesce(kind.isin(*BY_JVM), F.lit(False))), background, static, 1 if loop == "disable" else loops, loop == "force")
+    own = decode_files(files.where(~F.coalesce(kind.isin(*BY_JVM), F.lit(False))), background, static, 1 if loop == "disable" else loops, loop == "force", reqcolours)
     place = lambda c: F.regexp_replace(c, "^file:/+", "/")
     wanted = files.where(kind.isin(*BY_JVM)).select(place(F.col("path")).alias("__place"), kind.alias("__kind"))
     other = read_images(spark, path).withColumn("__place", place(F.col("source"))).join(wanted, "__place")
