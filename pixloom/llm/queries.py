@@ -68,8 +68,9 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.transform("passages", lambda p: F.coalesce(p["item_id"].cast("string"), F.lit("null")))
     return found.select(
-        "doc_id", F.transform("passages", lambda p: p["item_id"]).alias("item_ids"),
+        "doc_id", F.array_join(names, ",").alias("item_ids"),
         F.array_max(F.transform("passages", lambda p: p["equal_words"])).alias("equal_words"),
         F.array_min(F.transform("passages", lambda p: p["first_word"])).alias("first_word"),
     )
@@ -130,6 +131,26 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_LITTLE_SQL = "printf('%02X%02X%02X%02X', ({v}) & 255, ({v}) >> 8 & 255, ({v}) >> 16 & 255, ({v}) >> 24 & 255)"
+
+# Texts hold no whole media, so nothing is embedded.
+_MEDIA_SQL = f"""
+WITH cut AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+padded AS (SELECT doc_id, n, raw || encode(repeat(' ', CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END)) AS payload FROM cut),
+sized AS (
+  SELECT *, octet_length(payload) AS m, list_transform(regexp_extract_all(hex(payload), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS samples FROM padded),
+stored AS (
+  SELECT *, unhex('52494646' || {_LITTLE_SQL.format(v="m + 36")} || hex('WAVEfmt ') || '100000000100010040' || '1F0000401F000001000800' || hex('data') || {_LITTLE_SQL.format(v="m")}) || payload AS media
+  FROM sized)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256,
+  CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), samples[-16:]), lambda c, x:
+    list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) AS BIGINT) AS tail_crc32,
+  CAST(octet_length(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256,
+  'wav;frames=' || (m // 192) || ';min=' || list_min(samples) || ';max=' || list_max(samples) || ';mean=' || printf('%.6f', CAST(list_sum(samples) AS DOUBLE) / m) || ';embedded=0' AS feature,
+  'wav' AS media_type, true AS declared_ok
+FROM stored
+"""
+
 _TEMPLATES_SQL = ", ".join("('{}', '{}')".format(label, text.replace("'", "''")) for label, text in license_scan.TEMPLATES)
 
 _LICENSE_SQL = rf"""
@@ -180,8 +201,37 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id
 """
 
-#: The others have no SQL: checksums (3, 6), merges (5), training (6, 7), tree walks (9), substitutions (10); tests hold them
+# Every alignment of a document and an item with enough equal words; of each the stretch from one equal word to another with
+# the most of them that keeps the share (of equal ones the one that ends first); of each item the best, then the first.
+_PASSAGES_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS t, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+doc_words AS (SELECT d, unnest(w) AS word, unnest(range(len(w))) AS p FROM docs),
+item_words AS (SELECT t, least(10, len(w)) AS least_words, unnest(w) AS word, unnest(range(len(w))) AS p FROM items),
+lines AS (
+  SELECT d, t, x.p - y.p AS line, any_value(least_words) AS least_words, list(x.p ORDER BY x.p) AS places
+  FROM doc_words x JOIN item_words y USING (word) GROUP BY d, t, line HAVING count(*) >= any_value(least_words)),
+ends AS (SELECT d, t, line, least_words, places, unnest(range(1, len(places) + 1)) AS j FROM lines),
+stretches AS (
+  SELECT d, t, line, least_words, places[j] AS stop,
+         list_filter(range(1, j + 1), lambda i: 4 * (j - i + 1) >= 3 * (places[j] - places[i] + 1))[1] AS i, j, places FROM ends),
+longest AS (
+  SELECT d, t, line, least_words, arg_max({{'equal': j - i + 1, 'first': places[i]}}, (j - i + 1) * 100000000 - stop) AS best FROM stretches GROUP BY d, t, line, least_words),
+named AS (
+  SELECT d, item_id, arg_max(best, best.equal * 100000000 - best.first) AS best FROM longest JOIN items USING (t)
+  WHERE best.equal >= least_words GROUP BY d, item_id)
+SELECT doc_id, string_agg(coalesce(CAST(item_id AS VARCHAR), 'null'), ',' ORDER BY item_id NULLS FIRST) AS item_ids,
+       max(best.equal) AS equal_words, min(best.first) AS first_word
+FROM named JOIN docs USING (d) GROUP BY d, doc_id
+"""
+
+#: The others have no SQL: sums of logarithms (6), merges (5), training (7), tree walks (9); tests hold them
 #: against brute force, round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
-    "op1_url_filters": _URL_SQL, "op2_license_scan": _LICENSE_SQL, "op4_chat_format": _CHAT_SQL, "op8_jaccard_join": _JACCARD_SQL,
+    "op1_url_filters": _URL_SQL, "op2_license_scan": _LICENSE_SQL, "op3_media_columns": _MEDIA_SQL, "op4_chat_format": _CHAT_SQL, "op8_jaccard_join": _JACCARD_SQL,
+    "op10_decontamination": _PASSAGES_SQL,
 }
