@@ -564,7 +564,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str
     key = F.xxhash64(utf8(text_col))
     names = [F.col(f"`{c}`") for c in docs.columns]
     groups = jaccard_components(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), words, percent)
-    groups = groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"))
+    # Written, so that the join below shuffles anew and Spark can split a text that a third of the rows have.
+    groups = written(groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component")))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key")).groupBy("id", "key").agg(F.count("*").alias("n"))
     placed = written(rows.join(groups, "key"))
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("best"))
