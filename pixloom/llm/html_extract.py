@@ -22,7 +22,8 @@ Text is given block by block: character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined by one line end.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags
-are repaired; text outside any tag counts as body text; an empty table gives an
+are repaired; a comment that does not end takes the rest of the page, a quote that
+does not end is a character; text outside any tag counts as body text; an empty table gives an
 empty table and repeated rows repeated results; of equal sums the outermost, first
 node is the article; columns beside id, url and html are not read.  Pages are
 mapped over, nothing is shuffled.
@@ -73,12 +74,11 @@ BESIDE = frozenset(
 #: Elements that such words never announce.
 KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
-    re.S,
-)
+_START = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+#: A tag; quotes count behind an equals sign only, and only if they end.
+_TAG = re.compile(r"</?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+#: A tag without regard to quotes.
+_PLAIN_TAG = re.compile(r"</?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
@@ -113,6 +113,44 @@ def _judged(name: str, attrs: str) -> tuple[bool, int]:
     return False, mark
 
 
+class Limits:
+    """Up to where a page can have tags and sections that end, and whether quotes still count.
+
+    What is not closed is looked for once, so that no page is searched to its end for each of its tags.
+    """
+
+    def __init__(self, page: str):
+        self.tag, self.section, self.quotes = page.rfind(">") + 1, page.rfind("]]>"), True
+
+
+def next_tag(page: str, at: int, limits: Limits) -> tuple[str, re.Match[str] | None, int]:
+    """The text before the next tag, the tag, where it ends; comments, sections and declarations are left out of the text."""
+    texts = []
+    while start := _START.search(page, at):
+        begin = start.start()
+        if page.startswith("<!--", begin):
+            stop = page.find("-->", begin + 2) + 3
+            stop = stop if stop > 2 else len(page)
+        elif begin >= limits.tag:  # no tag ends behind it
+            stop = begin + 1
+            texts.append(page[at:stop])
+            at = stop
+            continue
+        elif page.startswith("<![CDATA[", begin) and begin < limits.section:
+            stop = page.find("]]>", begin) + 3
+        elif page[begin + 1] in "!?":
+            stop = page.find(">", begin) + 1
+        else:
+            m = _TAG.match(page, begin, limits.tag) if limits.quotes else None
+            if m is None:  # its quotes swallow all the rest: from here on quotes are characters
+                limits.quotes = False
+                m = _PLAIN_TAG.match(page, begin, limits.tag)
+            return "".join(texts) + page[at:begin], m, m.end()
+        texts.append(page[at:begin])
+        at = stop
+    return "".join(texts) + page[at:], None, len(page)
+
+
 def parse(page: str) -> Node:
     """The tree of a page without its certain boilerplate; raw elements and their contents are left out too."""
     root = Node("body", None)
@@ -120,6 +158,7 @@ def parse(page: str) -> Node:
     # Depths of the open elements by name, of those that are blocks and of those that are scopes: no tag looks through the stack.
     open_at: dict[str, list[int]] = {}
     blocks, scopes = [0], [0]
+    limits = Limits(page)
 
     def push(node: Node) -> None:
         open_at.setdefault(node.name, []).append(len(stack))
@@ -151,27 +190,23 @@ def parse(page: str) -> Node:
                 return
 
     while True:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        text, m, at = next_tag(page, at, limits)
         if text and not dropped:
             stack[-1].parts.append(html.unescape(text) if "&" in text else text)
         if not m:
             return root
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
-            continue
-        if m["close"] or m["close2"]:
+        name = m["name"].lower()
+        if m[0][1] == "/":
             depth = deepest((name,))
             if depth and (name in BLOCK or depth > blocks[-1]):  # an inline end tag does not close blocks
                 while len(stack) > depth:
                     pop()
             continue
-        attrs = m["attrs"] or m["attrs2"] or ""
+        attrs = m["attrs"]
         if name in RAW:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                close = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*+>", re.I).search(page, at, limits.tag)
+                at = close.end() if close else len(page)
             continue
         if name in ("html", "body"):
             continue

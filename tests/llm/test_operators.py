@@ -647,6 +647,27 @@ def test_odd_tags_take_linear_time(page):
     assert time.perf_counter() - began < 5
 
 
+@pytest.mark.parametrize("unit", ["<x ", "<![CDATA[", "<![CDATA[]]", '<x a="', '<x a=">"', "<x '>'", "<!--", "<!x", "</x ", "<script></script ", "< ", "="])
+@pytest.mark.parametrize("tail", ["", ">", '">'])
+def test_what_is_not_closed_takes_linear_time(unit, tail):
+    import time
+
+    began = time.perf_counter()
+    assert html_extract.main_text("<p>Text.</p>" + unit * 50_000 + tail).startswith("Text.")
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p title=it's>one</p><p>don't <b>two</b></p>", "one\ndon't two"),  # a quote inside a bare value
+    ("<p>one</p><img alt='a > b'><p>two <a title=\"x>y</a></p><p>three</p>", "one\ntwo y\nthree"),  # one that does not end
+    ("<p>a<!-- x --> b</p><p>c <!-- <b> d", "a b\nc"), ("<p>a<!--> b<!---> c</p>", "a b c"),
+    ("<p>x <![CDATA[ y > z ]]> w</p>", "x w"), ("<p>x <![CDATA[ y > z</p>", "x z"),
+    ("a < b <3 c", "a < b <3 c"), ("<p>a <?x y?> b</p> <b", "a b\n<b"), ("</>x</ y>", "</>x</ y>"),
+])
+def test_unclosed_markup(page, want):
+    assert html_extract.main_text(page) == want
+
+
 # --- 10: decontamination ------------------------------------------------------------------
 
 
