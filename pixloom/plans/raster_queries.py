@@ -478,7 +478,7 @@ def _median_cut_sql(wanted: int) -> str:
     sample = "CASE plane WHEN 0 THEN e.r WHEN 1 THEN e.g ELSE e.b END"
     spread = {c: f"(list_max(list_transform(boxes[spot], lambda e: e.{c})) - list_min(list_transform(boxes[spot], lambda e: e.{c})))" for c in RGB}
     middle = {c: f"(list_min(list_transform(x, lambda e: e.{c})) + list_max(list_transform(x, lambda e: e.{c}))) // 2" for c in RGB}
-    level = ", ".join(f"CAST({m} AS BIGINT)" for m in middle.values())
+    level = ", ".join(f"'{c}': CAST({m} AS BIGINT)" for c, m in middle.items())
     return f"""WITH RECURSIVE {PIX_SQL}{_HIST}, cut AS (
   SELECT image_id, 1 AS k, CAST(len(entries) AS BIGINT) AS before, CASE WHEN len(entries) <= {wanted} THEN list_transform(entries, lambda e: [e]) ELSE [entries] END AS boxes
   FROM (SELECT image_id, list({{'r': r, 'g': g, 'b': b, 'n': n}} ORDER BY first_pos) AS entries FROM coloured GROUP BY image_id)
@@ -491,13 +491,13 @@ def _median_cut_sql(wanted: int) -> str:
       FROM (SELECT *, list_transform(list_sort(list_transform(boxes[spot], lambda e: {{'first': {sample}, 'r': e.r, 'g': e.g, 'b': e.b, 'n': e.n}})),
                                      lambda e: {{'r': e.r, 'g': e.g, 'b': e.b, 'n': e.n}}) AS own
         FROM (SELECT *, CASE WHEN {spread["r"]} >= {spread["g"]} AND {spread["r"]} >= {spread["b"]} THEN 0 WHEN {spread["g"]} >= {spread["b"]} THEN 1 ELSE 2 END AS plane
-          FROM (SELECT *, list_position(list_transform(boxes, lambda x: len(x) > 1), true) AS spot FROM cut WHERE len(boxes) < {wanted}) WHERE spot > 0)))))
-SELECT image_id, array_to_string(list_transform(arg_max(boxes, k), lambda x: printf('%02x%02x%02x', {level})), '') AS palette,
-       CAST(len(arg_max(boxes, k)) AS BIGINT) AS ncolors, max(before) AS origcolors
-FROM cut GROUP BY image_id"""
+          FROM (SELECT *, list_position(list_transform(boxes, lambda x: len(x) > 1), true) AS spot FROM cut WHERE len(boxes) < {wanted}) WHERE spot > 0))))),
+palettes AS (SELECT image_id, list_transform(arg_max(boxes, k), lambda x: {{{level}}}) AS cube, max(before) AS origcolors FROM cut GROUP BY image_id)
+"""
 
 
-@query("w4_median_cut", _median_cut_sql(8))
+@query("w4_median_cut", _median_cut_sql(8) + """SELECT image_id, array_to_string(list_transform(cube, lambda c: printf('%02x%02x%02x', c.r, c.g, c.b)), '') AS palette,
+       CAST(len(cube) AS BIGINT) AS ncolors, origcolors FROM palettes""")
 def w4_median_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palette.median_cut(_hist(spark, sf_dir), 8).withColumn("palette", F.lower(F.hex("palette")))
 
@@ -508,7 +508,12 @@ def _with_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("*", F.lit(colours).alias("palette"), F.lit(8).cast("long").alias("ncolors"), F.lit(99).cast("long").alias("origcolors"))
 
 
-def _diffusion_sql(kernel: str) -> str:
+def _cube_palettes_sql() -> str:
+    cube = "[" + ", ".join(f"{{'r': {r}, 'g': {g}, 'b': {b}}}" for r, g, b in CUBE_8) + "]"
+    return f"WITH RECURSIVE {PIX_SQL}, palettes AS (SELECT DISTINCT image_id, {cube} AS cube, 99 AS origcolors FROM pix)"
+
+
+def _diffusion_sql(kernel: str, palettes: str | None = None) -> str:
     """Pixel by pixel: the lists of samples, with the answers so far and those that 15-bit buckets keep."""
     spreads = {
         "floyd-steinberg": "pos % 8 < 7 AND pos // 8 < 7", "atkinson": "pos // 8 < 6", "jarvis": "pos < 6 * 8 - 2", "stucki": "pos < 6 * 8 - 2", "burkes": "pos < 7 * 8 - 2",
@@ -520,15 +525,14 @@ def _diffusion_sql(kernel: str) -> str:
             f"WHEN i = pos + {1 + down * 8 + right} THEN greatest(0, least(255, v + sign({error}) * (abs({error}) * {num} // {den})))"
             for down, right, num, den in diffuse.KERNELS[kernel]
         )
-        return f"CASE WHEN {spreads} THEN list_transform({c}s, lambda v, i: CAST(CASE {cases} ELSE v END AS BIGINT)) ELSE {c}s END"
+        return f"CASE WHEN spread AND {spreads} THEN list_transform({c}s, lambda v, i: CAST(CASE {cases} ELSE v END AS BIGINT)) ELSE {c}s END"
 
-    cube = "[" + ", ".join(f"{{'r': {r}, 'g': {g}, 'b': {b}}}" for r, g, b in CUBE_8) + "]"
-    return f"""WITH RECURSIVE {PIX_SQL}, step AS (
+    return f"""{palettes or _cube_palettes_sql()}, step AS (
   SELECT image_id, 0 AS pos, list(r ORDER BY y, x) AS rs, list(g ORDER BY y, x) AS gs, list(b ORDER BY y, x) AS bs, [CAST(0 AS BIGINT)][:0] AS idx,
-         [CAST(0 AS BIGINT)][:0] AS keys, {cube} AS cube
-  FROM pix GROUP BY image_id
+         [CAST(0 AS BIGINT)][:0] AS keys, any_value(cube) AS cube, any_value(origcolors) > len(any_value(cube)) AS spread
+  FROM pix JOIN palettes USING (image_id) GROUP BY image_id
   UNION ALL
-  SELECT image_id, pos + 1, {moved("r")}, {moved("g")}, {moved("b")}, list_append(idx, best), list_append(keys, key), cube
+  SELECT image_id, pos + 1, {moved("r")}, {moved("g")}, {moved("b")}, list_append(idx, best), list_append(keys, key), cube, spread
   FROM (SELECT *, CASE WHEN list_position(keys, key) > 0 THEN idx[list_position(keys, key)] ELSE CAST(list_position(away, list_min(away)) - 1 AS BIGINT) END AS best
         FROM (SELECT *, (rs[pos + 1] >> 3 << 10) | (gs[pos + 1] >> 3 << 5) | (bs[pos + 1] >> 3) AS key,
                      list_transform(cube, lambda c: (rs[pos + 1] - c.r) * (rs[pos + 1] - c.r) + (gs[pos + 1] - c.g) * (gs[pos + 1] - c.g) + (bs[pos + 1] - c.b) * (bs[pos + 1] - c.b)) AS away
@@ -546,7 +550,42 @@ for _k, _kernel in enumerate(diffuse.KERNELS):
         )
 
 
-@query("c3_encode_stream")
+# Band by band and sweep by sweep: what starts behind the pen is drawn, what starts before it waits for the next sweep.  No picture is
+# wider than a gap, so a colour is one island of a band.
+_STREAM_SQL = """, islands AS (
+  SELECT image_id, band, {'s': list_position(list_transform(bits, lambda v: v > 0), true) - 1, 'e': 8 - list_position(list_reverse(list_transform(bits, lambda v: v > 0)), true) + 1,
+                          'c': c, 'bits': bits} AS node
+  FROM (SELECT image_id, band, c, list_transform(range(8), lambda x: list_sum(list_transform(range(CASE band WHEN 0 THEN 6 ELSE 2 END),
+          lambda row: CASE WHEN idx[(band * 6 + row) * 8 + x + 1] = c THEN 1 << row ELSE 0 END))) AS bits
+        FROM (SELECT image_id, idx, band, unnest(range(len(cube))) AS c FROM (SELECT image_id, idx, cube, unnest(range(2)) AS band FROM done)))
+  WHERE list_sum(bits) > 0),
+bands AS (SELECT image_id, band, list(node ORDER BY node.s, node.e DESC, node.c) AS nodes FROM islands GROUP BY image_id, band),
+pen AS (
+  SELECT image_id, 0 AS band, a.nodes AS todo, a.nodes[:0] AS later, b.nodes AS second, CAST(0 AS BIGINT) AS x, CAST(-1 AS BIGINT) AS active, '' AS drawn, false AS ended
+  FROM bands a JOIN bands b USING (image_id) WHERE a.band = 0 AND b.band = 1
+  UNION ALL
+  SELECT image_id, CASE WHEN busy OR again THEN band ELSE band + 1 END, CASE WHEN busy THEN todo[2:] WHEN again THEN later ELSE second END,
+         CASE WHEN waits THEN list_append(later, node) WHEN busy THEN later ELSE later[:0] END, second,
+         CASE WHEN waits THEN x WHEN busy THEN node.e ELSE 0 END, CASE WHEN busy AND NOT waits THEN node.c ELSE active END,
+         drawn || CASE WHEN waits THEN ''
+           WHEN busy THEN CASE WHEN node.c <> active THEN '#' || node.c ELSE '' END || array_to_string(list_transform(starts, lambda a, k:
+             CASE WHEN coalesce(starts[k + 1], len(ink) + 1) - a > 3 THEN '!' || (coalesce(starts[k + 1], len(ink) + 1) - a) || chr(CAST(63 + ink[a] AS INTEGER))
+                  ELSE repeat(chr(CAST(63 + ink[a] AS INTEGER)), coalesce(starts[k + 1], len(ink) + 1) - a) END), '')
+           WHEN again THEN '$' WHEN band = 0 THEN '-' ELSE '' END,
+         NOT busy AND NOT again AND band = 1
+  FROM (SELECT *, list_filter(range(1, len(ink) + 1), lambda i: i = 1 OR ink[i] <> ink[i - 1]) AS starts
+    FROM (SELECT *, todo[1] AS node, len(todo) > 0 AS busy, len(todo) > 0 AND todo[1].s < x AS waits, len(todo) = 0 AND len(later) > 0 AS again,
+                 list_concat(list_transform(range(x, todo[1].s), lambda v: CAST(0 AS HUGEINT)), todo[1].bits[todo[1].s + 1:todo[1].e]) AS ink
+          FROM pen WHERE NOT ended))),
+streams AS (
+  SELECT image_id, chr(27) || 'Pq"1;1;8;8' || array_to_string(list_transform(cube, lambda c, i:
+           '#' || (i - 1) || ';2;' || (c.r * 100 + 127) // 255 || ';' || (c.g * 100 + 127) // 255 || ';' || (c.b * 100 + 127) // 255), '') || drawn || chr(27) || chr(92) AS stream
+  FROM pen JOIN done USING (image_id) WHERE ended)
+"""
+
+
+@query("c3_encode_stream", _diffusion_sql("atkinson", _median_cut_sql(8)) + _STREAM_SQL + """SELECT image_id, CAST(length(stream) AS BIGINT) AS bytes, sha256(stream) AS sha256,
+  CAST(NULL AS VARCHAR) AS message FROM streams""")
 def c3_encode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bandcodec.encode_frames(diffuse.diffuse_frames(_with_palettes(spark, sf_dir, 8)))
     return made.select("image_id", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"), "message")
