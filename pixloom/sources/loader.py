@@ -65,12 +65,16 @@ def frames_of(kind: str, data: bytes, background=None, static: bool = False, loo
 
 def decode_files(files: DataFrame, background: tuple[int, int, int] | None = None, static: bool = False, loops: int = 1, force: bool = False,
                  reqcolours: int = 256) -> DataFrame:
-    """Frames of a (batch or streaming) ``binaryFile`` table."""
+    """Frames of a (batch or streaming) ``binaryFile`` table; rows that come with a message keep it and are not decoded."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if data in (b"", b"\n"):
+            for path, kind, data, lost in zip(*(batch.column(i) for i in range(4))):
+                path, kind, data, lost = path.as_py(), kind.as_py(), data.as_py(), lost.as_py()
+                if lost is None and data in (b"", b"\n"):
+                    continue
+                if lost is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, kind, 0, 0, 0, False, None, None, None, None, None, lost), _KINDS)], names=_NAMES)
                     continue
                 try:
                     rows = [(path, kind, *f, None) for f in frames_of(kind, data, background, static, loops, force, reqcolours)]
@@ -81,7 +85,8 @@ def decode_files(files: DataFrame, background: tuple[int, int, int] | None = Non
                 for row in rows:
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], names=_NAMES)
 
-    return files.select(F.col("path"), format_of(F.col("content")).alias("kind"), "content").mapInArrow(run, SCHEMA)
+    lost = F.col("message") if "message" in files.columns else F.lit(None).cast("string")
+    return files.select("path", format_of(F.col("content")).alias("kind"), "content", lost.alias("message")).mapInArrow(run, SCHEMA)
 
 
 #: Formats that the JVM reads.
@@ -112,8 +117,8 @@ def read_frames(spark: SparkSession, path: str, background: tuple[int, int, int]
 def read_urls(spark: SparkSession, urls: DataFrame, url_col: str = "url", timeout: float = 30.0, insecure: bool = False, **options) -> DataFrame:
     """Frames of the files that a column of addresses names, fetched by the tasks; redirects are followed.
 
-    Addresses are dealt evenly; one that cannot be fetched keeps a row with a
-    message.  JPEG and TIFF are for ``read_frames``.
+    Addresses are dealt evenly and fetched once; one that cannot be fetched keeps
+    a row with a message.  JPEG and TIFF are for ``read_frames``.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ssl
@@ -131,10 +136,7 @@ def read_urls(spark: SparkSession, urls: DataFrame, url_col: str = "url", timeou
                 yield pa.RecordBatch.from_arrays([pa.array([url], pa.string()), pa.array([content], pa.binary()), pa.array([message], pa.string())], names=["path", "content", "message"])
 
     got = urls.select(F.col(url_col).cast("string")).mapInArrow(run, "path string, content binary, message string")
-    lost = got.where("message IS NOT NULL")
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], SCHEMA).schema}
-    empty |= {"source": F.col("path"), "message": F.col("message"), "loop_no": F.lit(0), "frame_no": F.lit(0), "delay": F.lit(0), "multiframe": F.lit(False)}
-    return decode_files(got.where("message IS NULL").select("path", "content"), **options).unionAll(lost.select(*[empty[n].alias(n) for n in _NAMES]))
+    return decode_files(got, **options)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

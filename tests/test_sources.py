@@ -153,12 +153,14 @@ def test_transparency_of_png():
 
 def test_addresses(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(WHOLE["j.png"])
+    asked = []
 
     class Handler(http.server.SimpleHTTPRequestHandler):
         def __init__(self, *args):
             super().__init__(*args, directory=str(tmp_path))
 
         def do_GET(self):
+            asked.append(self.path)
             if self.path == "/moved":
                 self.send_response(302)
                 self.send_header("Location", "/a.png")
@@ -177,6 +179,7 @@ def test_addresses(spark, tmp_path):
     server.shutdown()
     assert all(loader.raster_of(got[f"{base}/{n}"]).tolist() == PICTURE.tolist() for n in ("a.png", "moved"))
     assert got[f"{base}/none"]["message"] and got[None]["message"]
+    assert sorted(asked) == ["/a.png", "/a.png", "/moved", "/none"]
 
 
 def test_sinks(spark, tmp_path):
