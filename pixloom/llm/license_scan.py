@@ -91,14 +91,19 @@ def build_index(templates: Sequence[tuple[str, str]], frequency: dict[bytes, int
 
 def match_blocks(tokens: list[bytes], distinct: set[bytes], index: Index) -> list[tuple[int, int, float]]:
     """(first word, template, containment) of all matches in a text."""
-    ways = [(t, index.postings[t]) for t in index.postings.keys() & distinct]
+    asked: dict[bytes, list[int]] = {}  # by prefix token: templates that the text is long enough for
+    for token in index.postings.keys() & distinct:
+        if ks := [k for k, _ in index.postings[token] if len(tokens) >= index.needed[k] and len(distinct) >= index.needed[k]]:
+            asked[token] = ks
+    places_of: dict[bytes, list[int]] = {token: [] for token in asked}
+    if asked:
+        for i, token in enumerate(tokens):
+            if token in asked:
+                places_of[token].append(i)
     near: dict[int, list[int]] = {}  # by template: where its prefix tokens stand
-    for token, postings in ways:
-        ks = [k for k, _ in postings if len(tokens) >= index.needed[k] and len(distinct) >= index.needed[k]]
-        if ks:
-            at = [i for i, t in enumerate(tokens) if t == token]
-            for k in ks:
-                near.setdefault(k, []).extend(at)
+    for token, ks in asked.items():
+        for k in ks:
+            near.setdefault(k, []).extend(places_of[token])
     found = []
     for k, places in sorted(near.items()):
         template, size, least = index.templates[k][1], index.sizes[k], index.needed[k]
