@@ -94,9 +94,24 @@ def axis_weights(spark, size: int, to: int, kernel: str) -> DataFrame:
     )
 
 
+def _along(rows: DataFrame, axis: str, size: int, to: int, kernel: str) -> DataFrame:
+    """Weighted sums of r, g, b and total along one axis; one aggregation, keyed by picture, line and target."""
+    weights = axis_weights(rows.sparkSession, size, to, kernel)
+    if max(size, to) * 9 <= BROADCAST_ROWS:
+        weights = F.broadcast(weights)
+    line = "y" if axis == "x" else "x"
+    return (
+        rows.join(weights.withColumnRenamed("source", axis), axis).groupBy("image_id", line, "target")
+        .agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("total", *RGB)]).withColumnRenamed("target", axis)
+    )
+
+
 def resize(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int, kernel: str = "bilinear") -> DataFrame:
     """Weighted mean of the source pixels in reach, cut down and clamped; pixels of no weight are left out.
 
+    A weight is the product of one along each axis, so the sums are taken along
+    one axis, then along the other: a pixel meets the targets of a line twice
+    instead of those of an area once.  The axis that shrinks more comes first.
     The weight tables have (target pixels x support) rows for the whole table of
     pictures, at most LIMIT x 9, and are broadcast below ``BROADCAST_ROWS``.
     """
@@ -104,21 +119,12 @@ def resize(pixels: DataFrame, width: int, height: int, to_width: int, to_height:
         return pixels
     if kernel == "nearest":
         return resize_nearest(pixels, width, height, to_width, to_height)
-    spark = pixels.sparkSession
-    across, down = (axis_weights(spark, s, t, kernel) for s, t in ((width, to_width), (height, to_height)))
-    # A target and source pair weighs in as the product; summing per target is one aggregation, keyed by picture and pixel.
-    if max(to_width, width, to_height, height) * 9 <= BROADCAST_ROWS:
-        across, down = F.broadcast(across), F.broadcast(down)
-    joined = (
-        pixels.join(across.select(F.col("source").alias("x"), F.col("target").alias("tx"), F.col("weight").alias("wx")), "x")
-        .join(down.select(F.col("source").alias("y"), F.col("target").alias("ty"), F.col("weight").alias("wy")), "y")
-        .withColumn("w", F.col("wx") * F.col("wy"))
-    )
-    sums = joined.groupBy("image_id", "ty", "tx").agg(
-        F.sum("w").alias("total"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in RGB]
-    )
+    sums = pixels.select("image_id", "y", "x", *RGB, F.lit(1.0).alias("total"))
+    axes = {"x": (width, to_width), "y": (height, to_height)}
+    for axis in sorted(axes, key=lambda a: axes[a][1] / axes[a][0]):
+        sums = _along(sums, axis, *axes[axis], kernel)
     return sums.where("total > 0").select(
-        "image_id", F.col("ty").alias("y"), F.col("tx").alias("x"),
+        "image_id", "y", "x",
         # Rounding to nine places first makes the cut independent of the order of addition.
         *[clamp(F.floor(F.round(F.col(c) / F.col("total"), 9)).cast("long")).alias(c) for c in RGB],
     )
