@@ -599,7 +599,7 @@ def c10_decode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = bandcodec.decode_streams(bandcodec.encode_frames(diffuse.diffuse_frames(_with_cube(spark, sf_dir))))
     return back.select(
         "image_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.lower(F.hex("indices")).alias("indices"),
-        F.lower(F.hex(F.substring("palette", 1, 24))).alias("colours"), "message",
+        F.lower(F.hex("registers")).alias("colours"), "message",
     )
 
 

@@ -95,6 +95,39 @@ def test_bad_streams(stream):
         decode(stream)
 
 
+def test_streams_keep_colours_that_are_defined_but_not_drawn(spark):
+    pal = np.array([[51 * i, 0, 255 - 51 * i] for i in range(5)])
+    data = {1: encode(np.array([[0, 1]]), pal), 2: encode(np.array([[4, 0]]), pal), 3: b"\x1bPq#200;2;100;0;0#1~\x1b\\", 4: b"\x1bPq#7~\x1b\\", 5: b"none"}
+    streams = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "image_id long, data binary")
+    rows = {r["image_id"]: r for r in bandcodec.decode_streams(streams).collect()}
+    whole = pal.astype(np.uint8).tobytes()
+    assert bytes(rows[1]["registers"]) == bytes(rows[2]["registers"]) == whole
+    assert rows[1]["ncolors"] == 3 and bytes(rows[1]["palette"]) == whole[:9] and bytes(rows[2]["palette"]) == whole  # counted by what is drawn
+    assert bytes(rows[3]["registers"])[-3:] == b"\xff\0\0" and len(rows[3]["registers"]) == 201 * 3 and rows[3]["ncolors"] == 3
+    assert rows[4]["registers"] == rows[4]["palette"] and rows[4]["ncolors"] == 8  # drawn, not defined
+    assert rows[5]["registers"] is None and rows[5]["message"]
+
+
+def test_decoded_streams_of_few_colours_equal_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    own = np.random.default_rng(17)
+    low = [-1.0, -0.9, -0.5, 0.0, 0.4, 0.9, 1.0]
+    vectors = [np.full(64, v) for v in low] + [own.uniform(v, v + 0.03, 64) for v in low[:-1]] + [own.uniform(-0.5, 0.5, 64)]
+    table = pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(f"SELECT image_id, width, height, indices, colours, message FROM ({entry.oracle_sql()['c10_decode_stream']}) ORDER BY image_id").fetchall()
+    got = entry.queries()["c10_decode_stream"](spark, str(tmp_path)).select("image_id", "width", "height", "indices", "colours", "message").collect()
+    assert len(want) == len(vectors) and any("07" not in [w[3][i : i + 2] for i in range(0, 128, 2)] for w in want)
+    assert sorted(map(tuple, got)) == want
+
+
 def test_wrapping():
     parts = bandcodec.wrapped(b"x" * 600)
     assert parts.count(b"\x1bP") == 3 and parts.replace(b"\x1bP", b"").replace(b"\x1b\\", b"") == b"x" * 600
